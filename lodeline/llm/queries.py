@@ -11,6 +11,7 @@ from lodeline.functions.paths import clean_path
 from lodeline.llm.components import components
 from lodeline.llm.cooccurrence import pairs
 from lodeline.llm.heavy_hitters import frequent
+from lodeline.llm.stuffing import language, stuffed
 from lodeline.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -97,6 +98,25 @@ def p5_groups(spark: SparkSession, d: str) -> DataFrame:
     return p5_found(spark, d).groupBy("repo_id", "group_path").agg(F.count(F.lit(1)).alias("paths"))
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return stuffed(table(spark, d, "documents"), "doc_id", "text", "lang").select(F.col("id").alias("doc_id"))
+
+
+def p8_rates(spark: SparkSession, d: str) -> DataFrame:
+    """Per source and language the documents, the stuffed ones and their share."""
+    docs = table(spark, d, "documents")
+    bad = stuffed(docs, "doc_id", "text", "lang").select(F.col("id").alias("doc_id"), F.lit(1).alias("bad"))
+    named = docs.select("doc_id", source_key("source").alias("source"), language("lang").alias("lang"))
+    return named.join(bad, "doc_id", "left").groupBy("source", "lang").agg(
+        F.count(F.lit(1)).alias("documents"), F.count("bad").alias("stuffed"), F.round(F.count("bad") / F.count(F.lit(1)), 6).alias("share")
+    )
+
+
+def source_key(c: Column | str) -> Column:
+    """A source's name without case, padding and separators, so that spelling variants meet; null stays null."""
+    return F.regexp_replace(F.lower(F.trim(c if isinstance(c, Column) else F.col(c))), "[^a-z0-9]+", "")
+
+
 _CLEAN = "regexp_replace({0}, '^(\\./)+', '')"
 _OBS = f"""
 WITH cleaned AS (
@@ -144,6 +164,8 @@ def queries() -> dict[str, Query]:
         "p4_scores": p4_scores,
         "p5_found": p5_found,
         "p5_groups": p5_groups,
+        "p8_found": p8_found,
+        "p8_rates": p8_rates,
     }
 
 

@@ -11,6 +11,7 @@ from lodeline.functions.paths import clean_path
 from lodeline.llm.components import components
 from lodeline.llm.cooccurrence import pairs
 from lodeline.llm.heavy_hitters import frequent
+from lodeline.llm.leakage import leaks
 from lodeline.llm.stuffing import language, stuffed
 from lodeline.session import table
 
@@ -98,6 +99,17 @@ def p5_groups(spark: SparkSession, d: str) -> DataFrame:
     return p5_found(spark, d).groupBy("repo_id", "group_path").agg(F.count(F.lit(1)).alias("paths"))
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return leaks(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "prompt").distinct()
+
+
+def p6_items(spark: SparkSession, d: str) -> DataFrame:
+    """Every test item with the number of documents that hold it, none included."""
+    hits = p6_found(spark, d).groupBy("item_id").agg(F.count(F.lit(1)).alias("documents"))
+    items = table(spark, d, "eval_items").select("item_id", "suite", "tier").distinct()
+    return items.join(hits, "item_id", "left").select("item_id", "suite", "tier", F.coalesce("documents", F.lit(0)).alias("documents"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return stuffed(table(spark, d, "documents"), "doc_id", "text", "lang").select(F.col("id").alias("doc_id"))
 
@@ -164,6 +176,8 @@ def queries() -> dict[str, Query]:
         "p4_scores": p4_scores,
         "p5_found": p5_found,
         "p5_groups": p5_groups,
+        "p6_found": p6_found,
+        "p6_items": p6_items,
         "p8_found": p8_found,
         "p8_rates": p8_rates,
     }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,6 +13,7 @@ from lodeline.llm.components import components
 from lodeline.llm.cooccurrence import pairs
 from lodeline.llm.heavy_hitters import frequent
 from lodeline.llm.leakage import leaks
+from lodeline.llm.mixture import Mixture, count_tokens
 from lodeline.llm.stuffing import language, stuffed
 from lodeline.session import table
 
@@ -110,6 +112,25 @@ def p6_items(spark: SparkSession, d: str) -> DataFrame:
     return items.join(hits, "item_id", "left").select("item_id", "suite", "tier", F.coalesce("documents", F.lit(0)).alias("documents"))
 
 
+#: Where the public vocabulary lies.
+VOCABULARY = os.environ.get("LODELINE_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.tiktoken")
+
+
+def _mixture(spark: SparkSession, d: str) -> Mixture:
+    docs = table(spark, d, "documents").select("doc_id", "text", source_key("source").alias("source"))
+    targets = table(spark, d, "mix_targets").withColumn("source", source_key("source_name"))
+    return Mixture(count_tokens(docs, "doc_id", "text", VOCABULARY, ["source"]), "doc_id", "source", targets)
+
+
+def p7_mix(spark: SparkSession, d: str) -> DataFrame:
+    return _mixture(spark, d).report()
+
+
+def p7_mixture(spark: SparkSession, d: str) -> DataFrame:
+    """The mixture itself in its global order: each document once a copy."""
+    return _mixture(spark, d).documents().select("doc_id", "source_name", "copy", "tokens", "place")
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return stuffed(table(spark, d, "documents"), "doc_id", "text", "lang").select(F.col("id").alias("doc_id"))
 
@@ -178,6 +199,8 @@ def queries() -> dict[str, Query]:
         "p5_groups": p5_groups,
         "p6_found": p6_found,
         "p6_items": p6_items,
+        "p7_mix": p7_mix,
+        "p7_mixture": p7_mixture,
         "p8_found": p8_found,
         "p8_rates": p8_rates,
     }

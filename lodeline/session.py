@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,8 +31,23 @@ def session(app: str = "lodeline", master: str | None = None, partitions: int |
     return b.getOrCreate()
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the package to the Python workers of every executor, once a Spark application."""
+    sc = spark.sparkContext
+    if getattr(sc, "_lodeline_shipped", False):
+        return
+    package = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="lodeline-ship-")) / "lodeline.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    sc.addPyFile(str(archive))
+    sc._lodeline_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of a data directory; a file or a folder of files."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -59,6 +76,7 @@ def cut(df: DataFrame) -> DataFrame:
     The data survives the loss of any executor. Iterative operators call it once a round.
     """
     checkpoint_folder(df.sparkSession)
+    ship(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -8,12 +8,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeline.functions.paths import clean_path
+from lodeline.functions.paths import clean_path, extension
 from lodeline.llm.components import components
 from lodeline.llm.cooccurrence import pairs
 from lodeline.llm.heavy_hitters import frequent
 from lodeline.llm.leakage import leaks
 from lodeline.llm.mixture import Mixture, count_tokens
+from lodeline.llm.provenance import not_handwritten
 from lodeline.llm.stuffing import language, stuffed
 from lodeline.session import table
 
@@ -55,6 +56,43 @@ def p1_counts(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def _not_handwritten(spark: SparkSession, d: str) -> DataFrame:
+    return not_handwritten(table(spark, d, "walked_files"), "file_id", "repo_id", "path", "source_text")
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return _not_handwritten(spark, d).select(F.col("file").alias("file_id"))
+
+
+def p3_kept(spark: SparkSession, d: str) -> DataFrame:
+    """Per repository and language: files with a source, files left as hand-written, and files taken out by reason.
+
+    ``over_limit`` counts files over the repository's walk limit now in force (or the default row's): they would not be walked today.
+    """
+    limits = table(spark, d, "walk_options").groupBy("repo_id").agg(F.max("max_file_bytes").alias("most"))
+    default = limits.where("repo_id = 0").first()
+    files = (
+        table(spark, d, "walked_files")
+        .where("source_text is not null")
+        .groupBy("file_id")
+        .agg(F.max("repo_id").alias("repo_id"), F.max(lang_key("lang", "path")).alias("lang"), F.max(F.coalesce("bytes", F.octet_length("source_text"))).alias("bytes"))
+    )
+    why = _not_handwritten(spark, d).select(F.col("file").alias("file_id"), "why")
+    limited = files.join(limits.where("repo_id <> 0"), "repo_id", "left").join(why, "file_id", "left")
+    most = F.coalesce("most", F.lit(default["most"] if default else None).cast("int"))
+    return limited.groupBy("repo_id", "lang").agg(
+        F.count(F.lit(1)).alias("files"),
+        F.sum(F.when(F.col("why").isNull(), 1).otherwise(0)).alias("kept"),
+        *[F.sum(F.when(F.col("why") == w, 1).otherwise(0)).alias(w) for w in ("generated", "minified", "vendored", "data")],
+        F.sum(F.when(F.col("bytes") > most, 1).otherwise(0)).alias("over_limit"),
+    )
+
+
+def lang_key(lang: str, path: str) -> Column:
+    """The language as the path's extension names it, else the cleaned language column."""
+    return F.coalesce(F.nullif(extension(path), F.lit("")), F.lower(F.trim(F.col(lang))))
+
+
 def _commits(spark: SparkSession, d: str) -> DataFrame:
     """Every commit once: a delivery's files are the same set whichever delivery is taken."""
     files = F.array_sort(F.array_distinct(F.transform(F.filter("files", lambda f: f.isNotNull()), clean_path)))
@@ -193,6 +231,8 @@ def queries() -> dict[str, Query]:
     return {
         "p1_found": p1_found,
         "p1_counts": p1_counts,
+        "p3_found": p3_found,
+        "p3_kept": p3_kept,
         "p4_found": p4_found,
         "p4_scores": p4_scores,
         "p5_found": p5_found,

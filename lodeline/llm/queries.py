@@ -16,6 +16,7 @@ from lodeline.llm.leakage import leaks
 from lodeline.llm.mixture import Mixture, count_tokens
 from lodeline.llm.provenance import not_handwritten
 from lodeline.llm.stuffing import language, stuffed
+from lodeline.llm.validity import judged, rates
 from lodeline.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,6 +57,22 @@ def p1_counts(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    files = judged(table(spark, d, "walked_files"), "file_id", "repo_id", "path", "source_text")
+    return files.where("fault is not null").select(F.col("file").alias("file_id"))
+
+
+def p2_rates(spark: SparkSession, d: str) -> DataFrame:
+    """Per repository and language: files judged, invalid and never read."""
+    return rates(table(spark, d, "walked_files"), table(spark, d, "dropped_files"), "file_id", "repo_id", "path", "source_text")
+
+
+def p2_kinds(spark: SparkSession, d: str) -> DataFrame:
+    """How many files have each kind of fault, by extension."""
+    files = judged(table(spark, d, "walked_files"), "file_id", "repo_id", "path", "source_text")
+    return files.where("fault is not null").groupBy("ext", "fault").agg(F.count(F.lit(1)).alias("files"))
+
+
 def _not_handwritten(spark: SparkSession, d: str) -> DataFrame:
     return not_handwritten(table(spark, d, "walked_files"), "file_id", "repo_id", "path", "source_text")
 
@@ -231,6 +248,9 @@ def queries() -> dict[str, Query]:
     return {
         "p1_found": p1_found,
         "p1_counts": p1_counts,
+        "p2_found": p2_found,
+        "p2_rates": p2_rates,
+        "p2_kinds": p2_kinds,
         "p3_found": p3_found,
         "p3_kept": p3_kept,
         "p4_found": p4_found,

@@ -77,7 +77,14 @@ def cut(df: DataFrame) -> DataFrame:
     """
     checkpoint_folder(df.sparkSession)
     ship(df.sparkSession)
-    return df.checkpoint(eager=True)
+    done = df.checkpoint(eager=True)
+    # A checkpoint keeps the size its plan was estimated at. Over many rounds of joins that estimate squares again and again, until
+    # the number alone fills the driver's memory; then the rows are taken without it.
+    if done._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < 1 << 62:
+        return done
+    spark = df.sparkSession
+    rows = done._jdf.queryExecution().toRdd()
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(rows, done._jdf.schema(), False), spark)
 
 
 def default_sf(sf: str = "sf0.001") -> str:

@@ -26,12 +26,9 @@ def components(links: DataFrame, a: str, b: str, scope: str | None = None, max_r
     result has no such column. ``group`` is the smallest node of the component in byte (or number) order. An empty table
     gives an empty result.
     """
-    s = scope or "__scope"
-    base = links if scope else links.withColumn(s, F.lit(0))
-    x, y = F.col(a), F.col(b)
-    edges = cut(
-        base.where(F.col(s).isNotNull() & (x != y)).select(F.col(s), F.least(x, y).alias("u"), F.greatest(x, y).alias("v")).distinct()
-    )
+    s = "__scope"
+    base = links.select((F.col(scope) if scope else F.lit(0)).alias(s), F.col(a).alias("x"), F.col(b).alias("y"))
+    edges = cut(base.where(F.col(s).isNotNull() & (F.col("x") != F.col("y"))).select(s, F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct())
     found: DataFrame | None = None
     for _ in range(max_rounds):
         if edges.isEmpty():
@@ -57,7 +54,7 @@ def components(links: DataFrame, a: str, b: str, scope: str | None = None, max_r
     if found is None:
         found = edges.select(s, F.col("u").alias("node"), F.col("v").alias("root"))
     out = found.select(s, "node", F.col("root").alias("group"))
-    return out if scope else out.drop(s)
+    return out.withColumnRenamed(s, scope) if scope else out.drop(s)
 
 
 def _jump(label: DataFrame, s: str) -> DataFrame:

@@ -31,14 +31,17 @@ def collapse(baskets: DataFrame, group: str, items: str) -> DataFrame:
     )
 
 
-def pairs(baskets: DataFrame, group: str, items: str, min_count: DataFrame, lift: float = 0.0) -> DataFrame:
+def pairs(baskets: DataFrame, group: str, set_column: str, min_count: DataFrame, lift: float = 0.0) -> DataFrame:
     """Pairs of items in baskets of one group: ``group, item_a, item_b, n_ab, n_a, n_b, n, lift, conviction``.
 
     ``min_count`` has ``group, min_count``; groups without a row there give nothing. ``item_a < item_b`` by bytes. Baskets
     must be of bounded size (leave wide ones out before). ``lift`` is ``n_ab * n / (n_a * n_b)``; ``conviction`` of a -> b is
     ``(1 - n_b / n) / (1 - n_ab / n_a)``, null when every basket with a has b. Empty input gives an empty result.
     """
-    weighted = cut(collapse(baskets, group, items))
+    out_group, group, items, floors = group, "__group", "__items", min_count
+    min_count = floors.select(F.col(out_group).alias(group), F.col("min_count"))
+    source = baskets.select(F.col(out_group).alias(group), F.col(set_column).alias(items))
+    weighted = cut(collapse(source, group, items))
     totals = weighted.groupBy(group).agg(F.sum("weight").alias("n")).join(min_count.select(group, "min_count"), group)
     touched = weighted.select(group, "weight", F.explode(items).alias("item"))
     single = touched.groupBy(group, "item").agg(F.sum("weight").alias("n_item"), F.count(F.lit(1)).alias("rows"))
@@ -71,7 +74,7 @@ def pairs(baskets: DataFrame, group: str, items: str, min_count: DataFrame, lift
     scored = frequent.join(a, [group, "item_a"]).join(b, [group, "item_b"])
     product = F.col("n_a").cast("double") * F.col("n_b")
     return scored.where(F.col("n_ab").cast("double") * F.col("n") >= F.lit(float(lift)) * product).select(
-        group,
+        F.col(group).alias(out_group),
         "item_a",
         "item_b",
         "n_ab",

@@ -136,41 +136,44 @@ def frequent(
     width = width or 4 * buckets
     if buckets & (buckets - 1) or width & (width - 1) or width > 1 << 20:
         raise ValueError("buckets and width must be powers of two, width at most 2**20")
-    valid = rows.dropna(subset=items).withColumn("__k", F.xxhash64(*items))
+    if {"n", "approx_n", "approx_low"} & set(items):
+        raise ValueError("an item column has the name of a result column")
+    inner = [f"__i{i}" for i in range(len(items))]
+    picked = [F.col(c).alias(i) for c, i in zip(items, inner, strict=True)]
+    valid = rows.select(*picked, *([] if once_per is None else [F.col(once_per).alias("__once")])).dropna(subset=inner).withColumn("__k", F.xxhash64(*inner))
     # Only 16 bytes a row are shuffled to count each identifier once.
-    keys = valid.select("__k") if once_per is None else _once(valid.select("__k", once_per), once_per).select("__k")
+    keys = valid.select("__k") if once_per is None else _once(valid.select("__k", "__once")).select("__k")
     merged = cut(sketch(keys, buckets, width))
     total = (merged.where("kind = 3").agg(F.sum("n")).first() or [0])[0] or 0
     floor = total // limit  # n * limit > total  <=>  n > floor
     hot = {row: [r["key"] for r in merged.where((F.col("kind") == row) & (F.col("n") > floor)).select("key").collect()] for row in (1, 2)}
-    spark = rows.sparkSession
-    cells = merged.where("kind in (1, 2)")
-    heavy = merged.where("kind = 0").select("key", "n")
-    bound = _bounds(heavy, cells, width)
-    picked = bound.where(F.col("high") > floor).select("key", "low", "high").collect()
-    cand = spark.createDataFrame([(r["key"], r["low"], r["high"]) for r in picked], "__k long, approx_low long, approx_n long")
+    bound = _bounds(merged.where("kind = 0").select("key", "n"), merged.where("kind in (1, 2)"), width)
+    kept = bound.where(F.col("high") > floor).select("key", "low", "high").collect()
+    cand = rows.sparkSession.createDataFrame([(r["key"], r["low"], r["high"]) for r in kept], "__k long, approx_low long, approx_n long")
     known = valid.join(F.broadcast(cand), "__k", "left")
     hot_cells = F.lit(False)
     if hot[1] and hot[2]:
         hot_cells = _cell(F.col("__k"), 0, width).isin(hot[1]) & _cell(F.col("__k"), 1, width).isin(hot[2])
     known = known.where(F.col("approx_n").isNotNull() | hot_cells)
-    keep = [*items, "approx_n", "approx_low"]
+    keep = [*inner, "approx_n", "approx_low"]
     if once_per is not None:
-        known = _once(known.select(*keep, "__k", once_per), once_per, keep)
+        known = _once(known.select(*keep, "__k", "__once"), keep)
     return (
-        known.groupBy(*items)
+        known.groupBy(*inner)
         .agg(F.count(F.lit(1)).alias("n"), F.max("approx_n").alias("approx_n"), F.max("approx_low").alias("approx_low"))
         .where(F.col("n") > floor)
-        .select(*items, "n", F.coalesce("approx_n", "n").alias("approx_n"), F.coalesce("approx_low", F.lit(0)).alias("approx_low"))
+        .select(*[F.col(i).alias(c) for i, c in zip(inner, items, strict=True)], "n", F.coalesce("approx_n", "n").alias("approx_n"), F.coalesce("approx_low", F.lit(0)).alias("approx_low"))
     )
 
 
-def _once(df: DataFrame, once_per: str, keep: list[str] | None = None) -> DataFrame:
-    """One row per identifier; the hash aggregation drops repeats before the shuffle where they meet."""
-    keep = keep or ["__k"]
-    named = df.where(F.col(once_per).isNotNull()).groupBy(once_per)
-    first = named.agg(F.min("__k").alias("__k")) if keep == ["__k"] else named.agg(F.min(F.struct("__k", *keep)).alias("s")).select("s.*")
-    return first.select(*keep).unionByName(df.where(F.col(once_per).isNull()).select(*keep))
+def _once(df: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """One row per identifier; the aggregation drops repeats before the shuffle where they meet. Rows without an identifier all stay."""
+    named = df.where(F.col("__once").isNotNull()).groupBy("__once")
+    if keep is None:
+        first, keep = named.agg(F.min("__k").alias("__k")), ["__k"]
+    else:
+        first = named.agg(F.min(F.struct("__k", *keep)).alias("__s")).select("__s.*")
+    return first.select(*keep).unionByName(df.where(F.col("__once").isNull()).select(*keep))
 
 
 def _bounds(heavy: DataFrame, cells: DataFrame, width: int) -> DataFrame:

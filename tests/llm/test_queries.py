@@ -1,0 +1,41 @@
+"""The registered queries against SQL on the smallest tables."""
+
+from pathlib import Path
+
+import pytest
+
+DATA = Path("/root/testdata/sf0.001")
+pytestmark = pytest.mark.skipif(not DATA.exists(), reason="no test tables here")
+
+
+def plain(rows):
+    return sorted(tuple("%.9g" % x if isinstance(x, float) else str(x) for x in r) for r in rows)
+
+
+def names():
+    from lodeline.llm import queries
+
+    return sorted(queries.queries())
+
+
+@pytest.mark.parametrize("name", names())
+def test_query(spark, name):
+    import duckdb
+
+    from lodeline.llm import queries
+
+    df = queries.queries()[name](spark, str(DATA))
+    cols = sorted(df.columns)
+    got = plain(df.select(*cols).collect())
+    sql = queries.oracle_sql().get(name)
+    if sql is None:
+        assert len(got) == len(set(got))
+        return
+    con = duckdb.connect()
+    for f in DATA.glob("*.parquet"):
+        con.execute(f"create view {f.stem} as select * from '{f}'")
+    r = con.execute(sql)
+    have = [x[0] for x in r.description]
+    order = sorted(range(len(have)), key=lambda i: have[i])
+    assert [have[i] for i in order] == cols
+    assert plain([tuple(x[i] for i in order) for x in r.fetchall()]) == got

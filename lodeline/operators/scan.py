@@ -83,7 +83,7 @@ def scan(text: str, lang: str) -> tuple[list[tuple[str, str]], list[str]]:
             names |= {x.split(" as ")[-1].strip().removeprefix("type ") for x in body.split(",") if x.strip()}
         if re.search(r"(?<![\w$.])export\s+default\b", masked):
             names.add("default")
-    return [(k, s) for _, k, s in sorted(found)], sorted(names)
+    return [(k, s) for _, k, s in sorted(found, key=lambda f: f[0])], sorted(names)
 
 
 def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

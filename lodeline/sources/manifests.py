@@ -66,7 +66,7 @@ def _dirs(path: str) -> Column:
 
 def go_modules(files: DataFrame) -> DataFrame:
     """``path, module, kind, name, version, target`` from go.mod texts: the module line, require and replace lines, alone or in blocks."""
-    lines = files.select("path", F.posexplode(F.split(F.regexp_replace("text", "//[^\\n]*", ""), "\\r?\\n", -1)).alias("at", "line")).withColumn("line", F.trim("line"))
+    lines = files.select("path", F.posexplode(F.split(F.regexp_replace("text", "//[^\\n]*", ""), "\\r?\\n", -1)).alias("at", "line")).withColumn("line", F.regexp_replace("line", r"^\s+|\s+$", ""))
     opens = F.regexp_extract("line", r"^(require|replace|exclude|retract)\s*\($", 1)
     closes = F.col("line") == ")"
     w = Window.partitionBy("path").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)

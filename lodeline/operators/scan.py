@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodeline.functions.languages import language
+from lodeline.session import spread
 
 _ES = re.compile(r"//[^\n]*|/\*.*?(?:\*/|\Z)|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\.)*`", re.DOTALL)
 _GO = re.compile(r"//[^\n]*|/\*.*?(?:\*/|\Z)|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)+'|`[^`]*`", re.DOTALL)
@@ -100,4 +101,4 @@ def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def scan_files(files: DataFrame, text: str = "source_text") -> DataFrame:
     """``repo_id, path, lang, refs, names`` of the files that can be scanned; null texts and other languages are left out."""
     rows = files.select("repo_id", "path", text, language("path").alias("lang")).where(F.col(text).isNotNull() & F.col("lang").isin("ts", "js", "go", "py"))
-    return rows.mapInArrow(_run, "repo_id long, path string, lang string, refs array<struct<kind:string,specifier:string>>, names array<string>")
+    return spread(rows).mapInArrow(_run, "repo_id long, path string, lang string, refs array<struct<kind:string,specifier:string>>, names array<string>")

@@ -87,5 +87,14 @@ def cut(df: DataFrame) -> DataFrame:
     return DataFrame(spark._jsparkSession.internalCreateDataFrame(rows, done._jdf.schema(), False), spark)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in at least as many partitions as there are cores, for work that costs far more than moving its rows.
+
+    A file of one row group is one task however many cores wait. Inputs of enough splits, all large ones, are left as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def default_sf(sf: str = "sf0.001") -> str:
     return os.path.join(os.environ.get("LODELINE_DATA", "/root/testdata"), sf)

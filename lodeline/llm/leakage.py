@@ -22,6 +22,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from lodeline.session import spread
+
 SEED = 3
 #: Words in a row that make a leak.
 RUN = 13
@@ -234,7 +236,7 @@ def leaks(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: st
     spark = docs.sparkSession
     own = own_texts([(r[0], r[1]) for r in items.select(item_id, prompt).dropDuplicates([item_id]).orderBy(item_id).collect()])
     schema = f"{doc_id} {docs.schema[doc_id].dataType.simpleString()}, {item_id} {items.schema[item_id].dataType.simpleString()}"
-    parts = [docs.select(doc_id, text).mapInArrow(_scan(spark.sparkContext.broadcast(block)), schema) for block in _blocks(own)]
+    parts = [spread(docs.select(doc_id, text)).mapInArrow(_scan(spark.sparkContext.broadcast(block)), schema) for block in _blocks(own)]
     if not parts:
         return spark.createDataFrame([], schema)
     out = parts[0]

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodeline.session import cut
+from lodeline.session import cut, spread
 
 BITS = 16
 #: The pre-split of the byte-level vocabulary (fixed value).
@@ -51,7 +51,7 @@ def count_tokens(docs: DataFrame, doc_id: str, text: str, vocabulary: str, carry
             yield pa.RecordBatch.from_arrays([*[b.column(i) for i in keep], pa.array(n, pa.int64())], [*[b.schema.names[i] for i in keep], "tokens"])
 
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in [doc_id, *carry])
-    return docs.select(doc_id, *carry, F.col(text).alias("__text")).mapInArrow(run, f"{fields}, tokens long")
+    return spread(docs.select(doc_id, *carry, F.col(text).alias("__text"))).mapInArrow(run, f"{fields}, tokens long")
 
 
 def _thresholds(mean: float, cap: int) -> list[float]:

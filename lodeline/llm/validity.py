@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodeline.functions.paths import extension
+from lodeline.session import spread
 
 #: The dialect that an extension names (fixed values).
 DIALECTS = {
@@ -65,7 +66,7 @@ def judged(files: DataFrame, file_id: str, repo_id: str, path: str, text: str) -
     schema = f"file {files.schema[file_id].dataType.simpleString()}, repo {files.schema[repo_id].dataType.simpleString()}, ext string, fault string"
     ext = extension(path)
     rows = files.where(F.col(file_id).isNotNull() & F.col(text).isNotNull() & ext.isin(*DIALECTS)).select(file_id, repo_id, ext.alias("ext"), text)
-    return rows.mapInArrow(_judge, schema).dropDuplicates(["file"])
+    return spread(rows).mapInArrow(_judge, schema).dropDuplicates(["file"])
 
 
 def rates(files: DataFrame, dropped: DataFrame, file_id: str, repo_id: str, path: str, text: str) -> DataFrame:

@@ -28,7 +28,7 @@ BLOCK = 2048
 #: A suspect's ratio is at most this part of the median of its language and length.
 REDUNDANT = 0.86
 #: Or it has fewer sentence ends a word than this.
-FEW_ENDS = 0.036
+FEW_ENDS = 0.05
 #: Confirmed when more than this share of its letters is stuffed.
 SHARE = 0.5
 

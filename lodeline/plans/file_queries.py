@@ -17,7 +17,7 @@ from lodeline.operators.scan import scan_files
 from lodeline.plans import views as V
 from lodeline.plans.views import CLEAN, SQL
 from lodeline.session import table
-from lodeline.sources.tree import compile_rule, ignored, line_count
+from lodeline.sources.tree import compile_rules, ignored, line_count
 
 
 def line_counts(s: SparkSession, d: str) -> DataFrame:
@@ -41,10 +41,7 @@ def ignored_files(s: SparkSession, d: str) -> DataFrame:
     default = o.where("repo_id = 0").select(F.col("excludes").alias("d"))
     own = table(s, d, "repos").select("repo_id").distinct().join(o.where("repo_id <> 0"), "repo_id", "left").join(F.broadcast(default)).select("repo_id", F.coalesce("excludes", "d").alias("x"))
     lines = own.select("repo_id", F.posexplode("x").alias("place", "line"))
-    # a rule's pattern depends on its text alone: there are as many as distinct lines
-    texts = [r["line"] for r in lines.select("line").distinct().collect()]
-    compiled = [(t, r["negated"], r["pattern"]) for t in texts if t is not None and (r := compile_rule(t))]
-    rules = lines.join(F.broadcast(s.createDataFrame(compiled, "line string, negated boolean, pattern string")), "line").select("repo_id", "place", "negated", "pattern")
+    rules = lines.join(compile_rules(lines), "line").select("repo_id", "place", "negated", "pattern")
     return ignored(V.files(s, d).select("repo_id", "path").distinct(), rules)
 
 

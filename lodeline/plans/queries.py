@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-_MODULES = ("history_queries", "graph_queries", "ranking_queries", "file_queries", "board_queries", "stream_queries")
+_MODULES = ("history_queries", "graph_queries", "ranking_queries", "file_queries", "board_queries", "stream_queries", "extra_queries")
 
 
 def _all(name: str) -> dict:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -80,6 +81,17 @@ def compile_rule(line: str) -> dict | None:
     return {"negated": negated, "pattern": head + out + tail}
 
 
+def compile_rules(lines: DataFrame, line: str = "line") -> DataFrame:
+    """``line, negated, pattern`` of the distinct rule lines of a table; each text is compiled once, on the executors."""
+
+    def run(frames):  # noqa: ANN001, ANN202
+        for f in frames:
+            made = [(t, r["negated"], r["pattern"]) for t in f[line] if (r := compile_rule(t))]
+            yield pd.DataFrame(made, columns=["line", "negated", "pattern"])
+
+    return lines.where(F.col(line).isNotNull()).select(line).distinct().mapInPandas(run, "line string, negated boolean, pattern string")
+
+
 def rules_of(spark: SparkSession, lines: list[str], scope: list | None = None) -> DataFrame:
     """A rule table ``place, negated, pattern`` (with ``repo_id`` when ``scope`` gives one a line)."""
     rows = []

@@ -284,3 +284,75 @@ def test_geometry(spark):
     assert got == {(a, b) for a, ax, ay in pts for b, bx, by in pts if a < b and (ax - bx) ** 2 + (ay - by) ** 2 <= 1}
     white = df.select(S.contrast(*[F.lit(255)] * 3, *[F.lit(0)] * 3).alias("c")).first()["c"]
     assert white == pytest.approx(21)
+
+
+# --- matching, wording, layout
+
+
+def test_greedy_matching_is_the_one_by_one_rule(spark):
+    from lodeline.operators.matching import greedy_matching
+
+    rng = random.Random(5)
+    cells = {(rng.randint(0, 6), rng.randint(0, 6)): rng.randint(1, 5) for _ in range(30)}
+    left, right, want = set(), set(), set()
+    for (a, b), n in sorted(cells.items(), key=lambda kv: (-kv[1], kv[0])):
+        if a not in left and b not in right:
+            left.add(a), right.add(b), want.add((a, b, n))
+    df = spark.createDataFrame([(1, a, b, n) for (a, b), n in cells.items()], "g int, a int, b int, n int")
+    assert {(r["a"], r["b"], r["n"]) for r in greedy_matching(df, ["g"], "a", "b", "n").collect()} == want
+
+
+def test_votes_and_claims(spark):
+    from lodeline.operators.matching import claim_origins, go_targets, majority_origin, package_facts
+
+    m = spark.createDataFrame([(1, "p", "a"), (1, "p", "a"), (1, "p", "b"), (1, "q", "a"), (1, "q", "b")], "repo_id long, package string, origin_dir string")
+    assert {r["package"]: r["origin"] for r in majority_origin(m).collect()} == {"p": "a", "q": "q"}
+    asked = spark.createDataFrame([(1, "k1", "o"), (1, "k2", "o"), (1, "k3", "live"), (1, "live", "live")], "repo_id long, key string, origin string")
+    live = spark.createDataFrame([(1, "live")], "repo_id long, key string")
+    assert {r["key"]: r["origin"] for r in claim_origins(asked, live).collect()} == {"k1": "o", "k2": "k2", "k3": "k3", "live": "live"}
+    mods = spark.createDataFrame([(1, "e.com/m", ""), (1, "e.com/m/sub", "sub")], "repo_id long, module string, directory string")
+    refs = spark.createDataFrame([(1, "e.com/m/x/y"), (1, "e.com/m/sub/z"), (1, "e.com/mm")], "repo_id long, specifier string")
+    assert {r["specifier"]: (r["module"], r["directory"]) for r in go_targets(refs, mods).collect()} == {"e.com/m/x/y": ("e.com/m", "x/y"), "e.com/m/sub/z": ("e.com/m/sub", "sub/z")}
+    man = spark.createDataFrame([("package.json", '{"name":"n","dependencies":{"b":"1","a":"2"},"devDependencies":{"a":"3"},"workspaces":["p/*"]}'), ("x/package.json", "nope")], "path string, text string")
+    assert {r["path"]: (r["name"], r["dependencies"], r["workspaces"]) for r in package_facts(man).collect()} == {"package.json": ("n", ["a", "b"], ["p/*"]), "x/package.json": (None, [], [])}
+
+
+def test_wording(spark):
+    from lodeline.functions import wording as W
+
+    assert one(spark, W.counted(F.col("n"), "file"), n=1) == "1 file" and one(spark, W.counted(F.col("n"), "entry", "entries"), n=3) == "3 entries"
+    assert one(spark, W.short_label(F.col("s"), 9), s="abcdefghijkl") == "abcd…ijkl" and one(spark, W.short_label(F.col("s")), s="short") == "short"
+    for name, pattern, target, want in (("./x/a", "./x/*", "./src/*.ts", "./src/a.ts"), ("./y", "./x/*", "./s/*", None), ("./x", "./x", "./z", "./z"), ("./a", "./a*a", "t*", None)):
+        assert one(spark, W.pattern_target(F.col("n"), F.col("p"), F.col("t")), n=name, p=pattern, t=target) == want
+    df = spark.createDataFrame([(["b", "a", "c"], {"b": "tree"}, ["file", "file"]), (["x"], {}, [])], "c array<string>, m map<string,string>, k array<string>")
+    w = W.encode_witness(F.col("c"), F.col("m"))
+    got = df.select(w.alias("w"), W.decode_witness(F.col("c"), w).alias("m"), W.noun_of(F.col("k")).alias("n")).collect()
+    assert [(r["w"], r["m"], r["n"]) for r in got] == [("- tree -", {"b": "tree"}, "file"), ("-", {}, "place")]
+
+
+def test_layout_keeps_labels_apart(spark):
+    from lodeline.operators.layout import force_layout
+
+    group = lambda k: [f"{k}{i}" for i in range(6)]
+    e = edges(spark, [(a, b) for k in "ab" for a in group(k) for b in group(k) if a < b] + [("a0", "b0")])
+    labels = spark.createDataFrame([(1, n, n[0]) for k in "ab" for n in group(k)], "repo_id long, node string, label string")
+    at = force_layout(e, labels, 12)
+    assert at.count() == 12 and at.agg(F.max(F.abs("x"))).first()[0] < 1000
+    assert abs(at.agg(F.avg("x")).first()[0]) < 0.1
+    assert S.spread_ratio(at, "label").first()["ratio"] < 1
+
+
+def test_boards_hold_their_invariants(spark):
+    from lodeline.plans.boards import assemble, folder_guess, hold_out
+
+    truth = spark.createDataFrame([(1, "s", f"d/t{i}", i) for i in range(1, 5)], "repo_id long, subject string, member string, place int")
+    wrong = spark.createDataFrame([(1, "s", f"d/w{i:02}", i, "tree") for i in range(1, 30)], "repo_id long, subject string, member string, place int, strategy string")
+    b = folder_guess(assemble(truth, wrong)).first()
+    assert len(b["truth"]) == 4 and set(b["truth"]) < set(b["candidates"]) and len(b["candidates"]) == 19 == len(b["witness"].split())
+    assert [c in b["truth"] for c in b["candidates"]] == [w == "-" for w in b["witness"].split()]
+    assert assemble(truth, wrong.where("place <= 2")).count() == 0
+    boards = spark.createDataFrame([(1, "k", f"s{i}") for i in range(40)], "repo_id long, kind string, subject string")
+    facts = boards.withColumn("relation", F.lit("r")).withColumn("one", F.lit("x")).withColumn("other", F.lit("y"))
+    assert hold_out(boards, facts, facts.limit(0), 4).count() == 0
+    own = facts.withColumn("one", F.col("subject"))
+    assert 0 < hold_out(boards, own, own.limit(0), 4).count() < 40

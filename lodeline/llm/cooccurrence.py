@@ -47,16 +47,18 @@ def pairs(baskets: DataFrame, group: str, set_column: str, min_count: DataFrame,
     single = touched.groupBy(group, "item").agg(F.sum("weight").alias("n_item"), F.count(F.lit(1)).alias("rows"))
     keep = (F.col("n_item") >= F.col("min_count")) & (F.lit(float(lift)) * F.col("n_item") <= F.col("n"))
     kept = cut(single.join(totals, group).where(keep).select(group, "item", "n_item", "rows"))
+    # a basket travels as a 128-bit name, not as its set once an item
+    name = [F.xxhash64(group, items).alias("h1"), F.xxhash64(F.lit(1), group, items).alias("h2")]
     slim = salted_lookup(
-        weighted.select(group, F.col(items).alias("set"), "weight", F.explode(items).alias("item")),
+        weighted.select(group, *name, "weight", F.explode(items).alias("item")),
         kept.select(group, "item", "rows"),
         [group, "item"],
         "rows",
-        ["set"],
+        ["h1"],
     )
     again = (
-        slim.groupBy(group, "set", "weight")
-        .agg(F.array_sort(F.collect_list("item")).alias("set2"))
+        slim.groupBy(group, "h1", "h2")
+        .agg(F.array_sort(F.collect_list("item")).alias("set2"), F.max("weight").alias("weight"))
         .where(F.size("set2") > 1)
         .groupBy(group, "set2")
         .agg(F.sum("weight").alias("weight"))

@@ -197,7 +197,10 @@ def aligned(own: list[str], text: list[str]) -> list[int]:
 
 
 def kept_passage(own: list[str], text: list[str]) -> bool:
-    """Whether a passage of PASSAGE or more own words keeps KEPT of them in order, within twice its length of text."""
+    """Whether a passage of PASSAGE or more own words keeps KEPT of them in order, within twice its length of text.
+
+    Of a longer passage that does, one half does, so passages of up to twice PASSAGE words decide.
+    """
     out = aligned(own, text)
     kept = [0]
     for j in out:
@@ -208,7 +211,7 @@ def kept_passage(own: list[str], text: list[str]) -> bool:
     for a in range(n - PASSAGE + 1):
         if out[a] < 0:
             continue
-        for b in range(a + PASSAGE, n + 1):
+        for b in range(a + PASSAGE, min(n, a + 2 * PASSAGE) + 1):
             if out[b - 1] >= 0 and kept[b] - kept[a] >= KEPT * (b - a) and out[b - 1] - out[a] < 2 * (b - a):
                 return True
     return False

@@ -30,13 +30,16 @@ def check(text: str, dialect: str) -> None:
         text = text[cut:]
     ts = dialect in ("ts", "tsx")
     for piece in pieces(text, dialect in ("tsx", "jsx"), ts):
-        why = _verdict(piece, dialect)
+        why = (_verdict if len(piece) <= REMEMBERED else _parse)(piece, dialect)
         if why:
             raise Fault(why)
 
 
-@lru_cache(maxsize=1 << 16)
-def _verdict(piece: tuple[str, ...], dialect: str) -> str:
+#: Longer pieces are not remembered, so the memory of a worker stays within a few tens of megabytes.
+REMEMBERED = 1000
+
+
+def _parse(piece: tuple[str, ...], dialect: str) -> str:
     p = _Parser(piece, dialect)
     try:
         p.program()
@@ -47,6 +50,9 @@ def _verdict(piece: tuple[str, ...], dialect: str) -> str:
     return ""
 
 
+_verdict = lru_cache(maxsize=1 << 14)(_parse)
+
+
 class _Parser:
     def __init__(self, piece: tuple[str, ...], dialect: str):
         t: list[str] = []

@@ -36,7 +36,7 @@ def check(text: str) -> None:
         text = text[1:]
     first = True
     for piece in _pieces(_tokens(text)):
-        why = _verdict(piece, first)
+        why = (_verdict if len(piece) <= REMEMBERED else _parse)(piece, first)
         if why:
             raise Fault(why)
         first = False
@@ -108,8 +108,11 @@ def _pieces(tokens: list[str]):
         yield tuple(piece)
 
 
-@lru_cache(maxsize=1 << 16)
-def _verdict(piece: tuple[str, ...], first: bool) -> str:
+#: Longer pieces are not remembered, so the memory of a worker stays within a few tens of megabytes.
+REMEMBERED = 1000
+
+
+def _parse(piece: tuple[str, ...], first: bool) -> str:
     p = _Parser(piece)
     try:
         if first:
@@ -125,6 +128,9 @@ def _verdict(piece: tuple[str, ...], first: bool) -> str:
     return ""
 
 
+_verdict = lru_cache(maxsize=1 << 14)(_parse)
+
+
 class _Parser:
     def __init__(self, piece: tuple[str, ...]):
         self.t = [*piece, "EOF", "EOF", "EOF"]

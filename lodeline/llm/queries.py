@@ -43,16 +43,17 @@ def _observations(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs over the default row's limit; without such a row no pair can be over it."""
     _, default = _limits(spark, d)
     items = ["repo_id", "path_a", "path_b"]
-    return frequent(_observations(spark, d), items, default["max_co_change_pairs"], once_per="obs_id").select(*items)
+    return frequent(_observations(spark, d), items, default["max_co_change_pairs"] or 1, once_per="obs_id").select(*items)
 
 
 def p1_counts(spark: SparkSession, d: str) -> DataFrame:
     """The frequent pairs with their exact count and the bounds the sketch had for it."""
     _, default = _limits(spark, d)
     items = ["repo_id", "path_a", "path_b"]
-    return frequent(_observations(spark, d), items, default["max_co_change_pairs"], once_per="obs_id").select(
+    return frequent(_observations(spark, d), items, default["max_co_change_pairs"] or 1, once_per="obs_id").select(
         *items, "n", (F.col("approx_n") >= F.col("n")).alias("upper_holds"), (F.col("approx_low") <= F.col("n")).alias("lower_holds")
     )
 

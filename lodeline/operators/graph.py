@@ -25,6 +25,11 @@ def both_ways(edges: DataFrame) -> DataFrame:
     return e.unionByName(flip(e)).distinct()
 
 
+def _compact(parts: list[DataFrame], most: int = 12) -> list[DataFrame]:
+    """The same rows in one part once there are many, so that plans stay short however deep a graph is."""
+    return parts if len(parts) < most else [cut(reduce(DataFrame.unionByName, parts))]
+
+
 def reach(edges: DataFrame, seeds: DataFrame | None = None, max_depth: int | None = None) -> DataFrame:
     """``repo_id, start, node, distance`` for every node that a start reaches along the edges, with its least distance.
 
@@ -43,7 +48,7 @@ def reach(edges: DataFrame, seeds: DataFrame | None = None, max_depth: int | Non
         step = e.select("repo_id", F.col("src").alias("node"), F.col("dst").alias("next"))
         new = front.select("repo_id", "start", "node").join(step, ["repo_id", "node"]).where("start <> next").select("repo_id", "start", F.col("next").alias("node")).distinct()
         front = cut(new.join(known, ["repo_id", "start", "node"], "left_anti").withColumn("distance", F.lit(depth)))
-        seen.append(front)
+        seen = _compact([*seen, front])
     return reduce(DataFrame.unionByName, seen)
 
 
@@ -66,7 +71,7 @@ def spread_mark(edges: DataFrame, marked: DataFrame) -> DataFrame:
         known = reduce(DataFrame.unionByName, seen)
         new = front.join(e.select("repo_id", F.col("dst").alias("node"), "src"), ["repo_id", "node"]).select("repo_id", F.col("src").alias("node")).distinct()
         front = cut(new.join(known, ["repo_id", "node"], "left_anti"))
-        seen.append(front)
+        seen = _compact([*seen, front])
     return reduce(DataFrame.unionByName, seen)
 
 

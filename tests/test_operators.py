@@ -111,6 +111,8 @@ def test_reach_in_cycles_and_chains(spark):
     seeds = spark.createDataFrame([(1, "a")], "repo_id long, start string")
     assert G.reach(edges(spark, [(f"{i:02}", f"{i + 1:02}") for i in range(30)] + [("a", "00")]), seeds, 5).count() == 5
     assert G.reach(edges(spark, [("a", "b")]).limit(0)).count() == 0
+    deep = G.reach(edges(spark, [(f"{i:02}", f"{i + 1:02}") for i in range(20)]), spark.createDataFrame([(1, "00")], "repo_id long, start string"))
+    assert {r["node"]: r["distance"] for r in deep.collect()} == {f"{i:02}": i for i in range(1, 21)}
 
 
 def test_repositories_do_not_meet(spark):

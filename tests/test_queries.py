@@ -46,3 +46,24 @@ def test_entry(spark):
     df = e.entry(spark)
     assert df.columns == ["repo_id", "subject", "partner", "n", "width", "place"] and df.count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+@pytest.fixture(scope="module")
+def empty(tmp_path_factory):
+    import pyarrow.parquet as pq
+
+    d = tmp_path_factory.mktemp("empty")
+    for f in DATA.glob("*.parquet"):
+        t = pq.read_table(f)
+        pq.write_table(t.slice(0, 0), d / f.name)
+    return d
+
+
+#: These count over everything, so they have a row for nothing.
+ONE_ROW = {"summary", "spread_ratio", "layout_spread", "witness_round_trip"}
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_empty_tables(spark, empty, name):
+    n = Q.queries()[name](spark, str(empty)).count()
+    assert n == 0 or name in ONE_ROW

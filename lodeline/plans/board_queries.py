@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodeline.plans import boards as B
 from lodeline.plans import views as V
+from lodeline.plans import whole_boards as W
 from lodeline.plans.graph_queries import _DIST, _NODES, _UP
 from lodeline.plans.history_queries import ORACLE as HISTORY
 from lodeline.plans.views import SQL
@@ -33,6 +34,22 @@ def boards_touching(s: SparkSession, d: str) -> DataFrame:
     return _flat(B.touching(s, d))
 
 
+def whole_boards_dependents(s: SparkSession, d: str) -> DataFrame:
+    return _flat(W.boards(s, d, "dependents"))
+
+
+def whole_boards_partners(s: SparkSession, d: str) -> DataFrame:
+    return _flat(W.boards(s, d, "partners"))
+
+
+def whole_boards_changed(s: SparkSession, d: str) -> DataFrame:
+    return _flat(W.boards(s, d, "changed"))
+
+
+def whole_boards_touching(s: SparkSession, d: str) -> DataFrame:
+    return _flat(W.boards(s, d, "touching"))
+
+
 def boards_wrong_truth(s: SparkSession, d: str) -> DataFrame:
     """Candidates of the commit and file boards whose verdict differs from the touches themselves: there are none."""
     t = V.touches(s, d).select("repo_id", "sha", "path").distinct()
@@ -45,7 +62,7 @@ def boards_wrong_truth(s: SparkSession, d: str) -> DataFrame:
 
 def boards_held_out(s: SparkSession, d: str) -> DataFrame:
     """Boards held back by template, after those that the served ones give away are refused."""
-    parts = {k: cut(f(s, d)) for k, f in B.TEMPLATES.items()}
+    parts = {k: cut(W.boards(s, d, k)) for k in W.MEMBERS}
     ids, facts = None, None
     for k, b in parts.items():
         i = b.select("repo_id", F.lit(k).alias("kind"), "subject")
@@ -58,7 +75,7 @@ def boards_held_out(s: SparkSession, d: str) -> DataFrame:
     return total.join(held.groupBy("kind").agg(F.count(F.lit(1)).alias("held")), "kind", "left").select("kind", "boards", F.coalesce("held", F.lit(0)).alias("held"))
 
 
-QUERIES = {f.__name__: f for f in (boards_dependents, boards_partners, boards_changed, boards_touching, boards_wrong_truth, boards_held_out)}
+QUERIES = {f.__name__: f for f in (boards_dependents, boards_partners, boards_changed, boards_touching, whole_boards_dependents, whole_boards_partners, whole_boards_changed, whole_boards_touching, boards_wrong_truth, boards_held_out)}
 
 _CHANGED = SQL + """, tr AS (SELECT repo_id, sha AS subject, path AS member, row_number() OVER (PARTITION BY repo_id, sha ORDER BY path) AS place FROM narrow QUALIFY place <= 6),
 pr AS (SELECT repo_id, a AS anchor, b AS member, n FROM cochange WHERE n >= 2 UNION ALL SELECT repo_id, b, a, n FROM cochange WHERE n >= 2),

@@ -47,7 +47,7 @@ def whole_boards_changed(s: SparkSession, d: str) -> DataFrame:
 
 
 def whole_boards_touching(s: SparkSession, d: str) -> DataFrame:
-    return _flat(W.boards(s, d, "touching"))
+    return _flat(W.boards(s, d, "touching", W.boards(s, d, "changed").select("repo_id", F.col("subject").alias("sha"))))
 
 
 def boards_wrong_truth(s: SparkSession, d: str) -> DataFrame:
@@ -62,7 +62,9 @@ def boards_wrong_truth(s: SparkSession, d: str) -> DataFrame:
 
 def boards_held_out(s: SparkSession, d: str) -> DataFrame:
     """Boards held back by template, after those that the served ones give away are refused."""
-    parts = {k: cut(W.boards(s, d, k)) for k in W.MEMBERS}
+    parts = {k: cut(W.boards(s, d, k)) for k in ("dependents", "partners", "changed")}
+    # an answered board of changed files tells how many its commit changed
+    parts["touching"] = cut(W.boards(s, d, "touching", parts["changed"].select("repo_id", F.col("subject").alias("sha"))))
     ids, facts = None, None
     for k, b in parts.items():
         i = b.select("repo_id", F.lit(k).alias("kind"), "subject")

@@ -2,7 +2,7 @@
 
 ``plans/boards.py`` holds the boards that the project's SQL defines, with one strategy each out of a narrow pool. Here a board's wrong
 answers may be any member of the repository that is not banned: the strategies of its template offer theirs, ``select_mix`` takes each one's
-quota, and what is missing comes from a filler over the whole repository.
+quota, and what is missing comes from a filler over the whole repository. A board that any guess of its template gives away is refused.
 
 No subject is paired with a whole repository for the filler or the tree: the members of a lane (a repository, a folder, a set of name words)
 are ranked once, and of a subject with b banned members the first 2 * CANDIDATES + b places hold all that can get onto its board.
@@ -15,11 +15,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodeline.functions.paths import dir_name, dir_prefixes, jaccard, name_tokens, tokens
+from lodeline.functions.scoring import f1
 from lodeline.operators import graph as G
 from lodeline.operators import history as H
 from lodeline.operators import ranking as R
 from lodeline.plans import views as V
-from lodeline.plans.boards import CANDIDATES, KEYS, RIGHT, distinct_truth
+from lodeline.plans.boards import CANDIDATES, GIVEN_AWAY, KEYS, RIGHT, distinct_truth
 from lodeline.session import cut
 
 #: The strategies of each template and their shares.
@@ -275,8 +276,80 @@ def touching(s: SparkSession, d: str) -> DataFrame:
     return members(right, size, lanes, filled, "touching")
 
 
+#: The guesses that a template's boards invite.
+GUESSES = {
+    "dependents": ("directory", "name", "partition"),
+    "partners": ("directory", "name", "churn", "partition"),
+    "changed": ("name", "churn", "recency", "partition"),
+    "touching": ("mentions", "endpoints", "oldestK", "recentK", "broadKnown"),
+}
+
+
+def guess_scores(rows: DataFrame, picks: dict[str, Column], partition: bool) -> DataFrame:
+    """``KEYS, guess, score``: every guess of ``picks`` (whether it takes a member) on every board, and the partition guess.
+
+    ``rows`` has a row for each member with the columns that the picks read and ``right``. The partition guess takes the folder, at any depth, that holds
+    exactly as many candidates as there are right ones, the best of several; a single right answer is guessed only when one folder is of that size.
+    """
+    one = rows.select(*KEYS, "right", *[F.coalesce(x, F.lit(False)).alias(g) for g, x in picks.items()])
+    long = one.unpivot([*KEYS, "right"], list(picks), "guess", "taken")
+    score = long.groupBy(*KEYS, "guess").agg(F.count_if("right").alias("n"), F.count_if("taken").alias("picked"), F.count_if(F.col("taken") & F.col("right")).alias("hits"))
+    score = score.select(*KEYS, "guess", f1(F.col("hits"), F.col("picked"), F.col("n")).alias("score"))
+    if not partition:
+        return score
+    n = rows.groupBy(*KEYS).agg(F.count_if("right").alias("n"))
+    groups = rows.select(*KEYS, "right", F.explode(dir_prefixes("member")).alias("prefix")).groupBy(*KEYS, "prefix").agg(F.count(F.lit(1)).alias("picked"), F.count_if("right").alias("hits"))
+    best = groups.join(n, KEYS).where("picked = n").groupBy(*KEYS, "n").agg(F.max("hits").alias("hits"), F.count(F.lit(1)).alias("folders"))
+    found = best.where("n >= 2 or folders = 1").select(*KEYS, f1(F.col("hits"), F.col("n"), F.col("n")).alias("score"))
+    return score.unionByName(n.select(*KEYS).join(found, KEYS, "left").select(*KEYS, F.lit("partition").alias("guess"), F.coalesce("score", F.lit(0.0)).alias("score")))
+
+
+def scored(s: SparkSession, d: str, kind: str, rows: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """``KEYS, guess, score`` of the guesses of a template on its boards.
+
+    ``known`` (``repo_id, sha``) are the commits whose number of files an answered board has told; without it broadKnown takes nothing.
+    """
+    x = rows.withColumn("right", F.col("how") == "-")
+    w = Window.partitionBy(*KEYS)
+    x = x.withColumn("n", F.count_if("right").over(w))
+    first = lambda *o: F.row_number().over(w.orderBy(*o)) <= F.col("n")
+    shares = lambda a, b: F.arrays_overlap(a, b)
+    if kind == "touching":
+        told = known.select("repo_id", F.col("sha").alias("member")).distinct().withColumn("known", F.lit(True)) if known is not None else None
+        c = V.commits(s, d).select("repo_id", F.col("sha").alias("member"), F.col("commit_date").alias("day"), tokens("subject").alias("said"), F.size("files").alias("width"))
+        life = V.touches(s, d).groupBy("repo_id", F.col("path").alias("subject")).agg(F.min("commit_date").alias("lo"), F.max("commit_date").alias("hi"))
+        x = x.join(c, ["repo_id", "member"]).join(life, KEYS)
+        x = x.withColumn("known", F.lit(False)) if told is None else x.join(told, ["repo_id", "member"], "left").na.fill(False, ["known"])
+        x = x.withColumn("old", first("day", "member")).withColumn("new", first(F.desc("day"), "member")).withColumn("broad", F.col("known") & first(F.desc("known"), F.desc("width"), "member"))
+        picks = {
+            "mentions": shares("said", name_tokens("subject")),
+            "endpoints": (F.col("day") == F.col("lo")) | (F.col("day") == F.col("hi")),
+            "oldestK": F.col("old"),
+            "recentK": F.col("new"),
+            "broadKnown": F.col("broad"),
+        }
+    else:
+        last = V.touches(s, d).groupBy("repo_id", F.col("path").alias("member")).agg(F.max("commit_date").alias("last"))
+        x = x.join(_files(s, d), ["repo_id", "member"], "left").na.fill(0, ["churn"]).join(last, ["repo_id", "member"], "left")
+        x = x.withColumn("busy", first(F.desc("churn"), "member"))
+        picks = {"directory": dir_name("member") == dir_name("subject"), "name": shares(name_tokens("member"), name_tokens("subject")), "churn": F.col("busy")}
+        if kind == "changed":
+            said = V.commits(s, d).select("repo_id", F.col("sha").alias("subject"), tokens("subject").alias("said"), F.col("commit_date").alias("day"))
+            x = x.join(said, KEYS)
+            picks |= {"name": shares(name_tokens("member"), "said"), "recency": F.col("last") == F.col("day")}
+        picks = {g: p for g, p in picks.items() if g in GUESSES[kind]}
+    return guess_scores(x, picks, "partition" in GUESSES[kind])
+
+
+def gate(rows: DataFrame, scores: DataFrame) -> DataFrame:
+    """The members of the boards that no guess gives away."""
+    return rows.join(scores.where(F.col("score") >= GIVEN_AWAY).select(*KEYS).distinct(), KEYS, "left_anti")
+
+
 MEMBERS = {"dependents": dependents, "partners": partners, "changed": changed, "touching": touching}
 
 
-def boards(s: SparkSession, d: str, kind: str) -> DataFrame:
-    return gathered(cut(MEMBERS[kind](s, d)))
+def boards(s: SparkSession, d: str, kind: str, known: DataFrame | None = None) -> DataFrame:
+    """The boards of a template that no guess gives away, one for each set of right answers."""
+    rows = cut(MEMBERS[kind](s, d))
+    return gathered(gate(rows, scored(s, d, kind, rows, known)))

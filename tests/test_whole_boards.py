@@ -64,3 +64,41 @@ def test_filler_passes_what_is_banned(spark):
     banned = spark.createDataFrame([(1, "README.md", f"f{i:03}") for i in range(60)], "repo_id long, subject string, member string")
     got = W.filler(banned.select(*W.KEYS).distinct(), universe, banned, ["member"])
     assert sorted(r["member"] for r in got.collect()) == [f"f{i:03}" for i in range(60, 79)]
+
+
+def test_every_guess_refuses(spark):
+    rows = spark.createDataFrame(
+        [(1, "a/x.ts", m, h) for m, h in [("b/p.ts", "-"), ("b/q.ts", "-"), *[(f"c/w{i}.ts", "busy") for i in range(6)]]]
+        + [(1, "a/y.ts", m, h) for m, h in [("b/p.ts", "-"), ("c/q.ts", "-"), *[(f"b/w{i}.ts", "busy") for i in range(6)]]],
+        "repo_id long, subject string, member string, how string",
+    )
+    picks = {"first": W.F.col("member") == "c/q.ts", "both": W.F.col("how") == "-"}
+    marked = rows.withColumn("right", W.F.col("how") == "-")
+    score = {(r["subject"], r["guess"]): r["score"] for r in W.guess_scores(marked, picks, True).collect()}
+    assert score["a/x.ts", "partition"] == 1 and score["a/y.ts", "partition"] == 0
+    assert score["a/x.ts", "first"] == 0 and score["a/y.ts", "first"] == 2 / 3 and score["a/y.ts", "both"] == 1
+    kept = W.gate(rows, W.guess_scores(marked, {"first": picks["first"]}, True)).select("subject").distinct().collect()
+    assert [r["subject"] for r in kept] == ["a/y.ts"]
+
+
+def test_commit_guesses_equal_brute_force(spark):
+    d = str(DATA)
+    commits = {(r["repo_id"], r["sha"]): r for r in V.commits(spark, d).collect()}
+    touched = defaultdict(list)
+    for (repo, _), r in commits.items():
+        for f in r["files"]:
+            touched[repo, f].append(r["commit_date"])
+    rows = spark.createDataFrame(W.touching(spark, d).collect())
+    known = spark.createDataFrame([k for i, k in enumerate(sorted(commits)) if i % 2], "repo_id long, sha string")
+    told = {tuple(r) for r in known.collect()}
+    got = {(r["repo_id"], r["subject"], r["guess"]): r["score"] for r in W.scored(spark, d, "touching", rows, known).collect()}
+    for (repo, f), board in seen(rows.collect()).items():
+        key = {m for m, h in board.items() if h == "-"}
+        day = lambda m: commits[repo, m]["commit_date"]  # noqa: B023, E731
+        ends = {min(touched[repo, f]), max(touched[repo, f])}
+        wide = sorted((m for m in board if (repo, m) in told), key=lambda m: (-len(commits[repo, m]["files"]), m))  # noqa: B023
+        new = sorted(sorted(board), key=day, reverse=True)
+        guesses = {"oldestK": sorted(board, key=lambda m: (day(m), m))[: len(key)], "recentK": new[: len(key)], "endpoints": [m for m in board if day(m) in ends], "broadKnown": wide[: len(key)]}  # noqa: B023
+        for g, taken in guesses.items():
+            hits = len(key & set(taken))
+            assert got[repo, f, g] == pytest.approx(2 * hits / (len(taken) + len(key)))

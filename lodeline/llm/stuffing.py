@@ -16,9 +16,10 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -196,18 +197,32 @@ def _judge(chunk: str, phrases: set[tuple[str, ...]]) -> tuple[float, float, int
     return 0.0, letters, 0
 
 
-def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _ratios(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        out: list[list] = [[], [], [], []]
-        for text in b.column(1).to_pylist():
-            raw = (text or "").encode("utf-8", "surrogatepass")
-            words = len(_WORD.findall(text or ""))
-            ratio, ends = block_ratio(raw), sentence_ends(text or "", words)
-            # no text above this ratio with that many sentence ends can become a suspect below
-            maybe = words > 0 and (ratio < 0.75 or ends < FEW_ENDS)
-            for column, value in zip(out, (len(raw), ratio, ends, stuffed_share(text) if maybe else 0.0), strict=True):
-                column.append(value)
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(out[0], pa.int64()), *[pa.array(x, pa.float64()) for x in out[1:]]], ["id", "lang", "size", "ratio", "ends", "share"])
+        raws = [(t or "").encode("utf-8", "surrogatepass") for t in b.column(0).to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column(1), pa.array([_class(x) for x in raws], pa.int32()), pa.array([block_ratio(x) for x in raws], pa.float64())], ["lang", "class", "ratio"])
+
+
+def _class(raw: bytes) -> int:
+    """The size class of a text, one for each doubling."""
+    return max(1, len(raw).bit_length())
+
+
+def _measure(usual: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out: list[list] = [[], [], [], [], []]
+            for text, lang in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                raw = (text or "").encode("utf-8", "surrogatepass")
+                words = len(_WORD.findall(text or ""))
+                ratio, ends = block_ratio(raw), sentence_ends(text or "", words)
+                norm = ratio / usual.value[lang, _class(raw)]
+                suspect = words > 0 and (norm <= REDUNDANT or ends <= FEW_ENDS)
+                for column, value in zip(out, (len(raw), ratio, norm, ends, stuffed_share(text) if suspect else 0.0), strict=True):
+                    column.append(value)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(out[0], pa.int64()), *[pa.array(x, pa.float64()) for x in out[1:]]], ["id", "lang", "size", "ratio", "norm", "ends", "share"])
+
+    return run
 
 
 def language(c: Column | str) -> Column:
@@ -221,19 +236,19 @@ def measure(docs: DataFrame, doc_id: str, text: str, lang: str) -> DataFrame:
 
     ``norm`` is the block ratio over the median of the documents of the same language and size class (a class for each
     doubling); classes of fewer than 30 documents take the median of the size class. Null and empty texts measure 1, 1
-    and 0. The medians are one row per language and size class, under 30,000 rows at any size of the data.
+    and 0. The medians come first, so that ``share`` is taken of every suspect and of no other text (0 there). They are one row
+    per language and size class, under 30,000 rows at any size of the data, collected and broadcast.
     """
+    spark = docs.sparkSession
     kind = docs.schema[doc_id].dataType.simpleString()
-    m = spread(docs.select(F.col(doc_id), F.col(text), language(lang).alias("lang"))).mapInArrow(
-        _measure, f"id {kind}, lang string, size long, ratio double, ends double, share double"
-    )
-    m = m.withColumn("class", F.length(F.bin("size")))
-    m = cut(m)
+    rows = spread(docs.select(F.col(doc_id), F.col(text), language(lang).alias("lang")))
+    m = cut(rows.select(text, "lang").mapInArrow(_ratios, "lang string, class int, ratio double"))
     median = lambda: F.percentile_approx("ratio", 0.5, 1000)
     own = m.groupBy("lang", "class").agg(median().alias("own"), F.count(F.lit(1)).alias("n"))
     wide = m.groupBy("class").agg(median().alias("wide"))
     norms = own.join(wide, "class").select("lang", "class", F.when(F.col("n") >= 30, F.col("own")).otherwise(F.col("wide")).alias("usual"))
-    return m.join(F.broadcast(norms), ["lang", "class"]).select("id", "lang", "size", "ratio", (F.col("ratio") / F.col("usual")).alias("norm"), "ends", "share")
+    usual = spark.sparkContext.broadcast({(r["lang"], r["class"]): r["usual"] for r in norms.collect()})
+    return rows.mapInArrow(_measure(usual), f"id {kind}, lang string, size long, ratio double, norm double, ends double, share double")
 
 
 def stuffed(docs: DataFrame, doc_id: str, text: str, lang: str) -> DataFrame:

@@ -196,3 +196,19 @@ def test_stuffed(spark):
     assert got == {*range(len(SPAM)), 901}
     assert stuffing.stuffed(df.limit(0), "id", "text", "lang").count() == 0
     assert stuffing.measure(df, "id", "text", "lang").count() == len(rows)
+
+
+def test_every_suspect_is_confirmed(monkeypatch):
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    few = "Zinc9 lAmpX, vELvet ruGs, 7oak DeSkQ, BrasS h0okj, Jute mATs, fIg cAndLe, wOOl 3quilT, KElp s0aP, qUartz bOwLy, hEMp bAg5."
+    none = few.replace(".", ", Fine. Good. Yes.")
+    raw = [x.encode() for x in (few, none)]
+    monkeypatch.setattr(stuffing, "stuffed_share", lambda text: 0.9)
+    assert stuffing.sentence_ends(few, 20) == stuffing.FEW_ENDS and min(map(stuffing.block_ratio, raw)) > 0.75
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([few, none]), pa.array(["en", "en"])], ["id", "text", "lang"])
+    share = lambda usual: next(stuffing._measure(SimpleNamespace(value={("en", stuffing._class(x)): usual for x in raw}))(iter([batch]))).column(6).to_pylist()
+    assert share(0.9)[0] > stuffing.SHARE and share(0.9)[1] == 0
+    assert share(1.2)[1] > stuffing.SHARE

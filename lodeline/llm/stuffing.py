@@ -102,27 +102,8 @@ def _covered(words: list[str], phrases: set[tuple[str, ...]]) -> int:
     return sum(hit)
 
 
-def plain_prose(text: str) -> bool:
-    """Whether a text is sure to be no more than half stuffed, told from counts over the whole of it.
-
-    Stuffed units are links, tags, units with hardly a function word, or units of which a recurring phrase covers a fifth or more.
-    A text with few links and tags, many function words and no phrase that covers a tenth of it cannot be more than half of those.
-    """
-    if text.count("](") + text.count("://") + text.lower().count("[url") > 3 or text.count("#") > 3 or len(_LINK.findall(text)) > 3:
-        return False
-    words = _WORD.findall(text.lower())
-    if len(words) < 12:
-        return False
-    if 10 * sum(map(FUNCTION_WORDS.__contains__, words)) < 3 * len(words):
-        return False
-    often = sum(c for c in Counter(zip(words, words[1:], strict=False)).values() if c >= 5)
-    return 20 * often < len(words)
-
-
 def stuffed_share(text: str) -> float:
     """Share of the letters that stand in stuffed units; 0 for texts without letters."""
-    if plain_prose(text):
-        return 0.0
     text = _FENCE.sub("\n", text)
     tables = sum(len("".join(_WORD.findall(x))) for x in text.split("\n") if _TABLE_ROW.match(x.strip()))
     linked = _LINK.sub(" \x01 ", text)

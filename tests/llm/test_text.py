@@ -212,3 +212,10 @@ def test_every_suspect_is_confirmed(monkeypatch):
     share = lambda usual: next(stuffing._measure(SimpleNamespace(value={("en", stuffing._class(x)): usual for x in raw}))(iter([batch]))).column(6).to_pylist()
     assert share(0.9)[0] > stuffing.SHARE and share(0.9)[1] == 0
     assert share(1.2)[1] > stuffing.SHARE
+
+
+def test_long_keywords_beside_many_function_words():
+    text = "If he or she has it then we do not. You can be at my side as they were on it for us. "
+    words = ["infrastructure", "refrigeration", "telecommunication", "transportation", "electrification", "photolithography", "thermodynamics", "crystallography"]
+    text += "\n" + ", ".join(w + s for s in ("", "s", "ist", "al", "er") for w in words)
+    assert stuffing.stuffed_share(text) > stuffing.SHARE

@@ -198,20 +198,38 @@ def test_stuffed(spark):
     assert stuffing.measure(df, "id", "text", "lang").count() == len(rows)
 
 
-def test_every_suspect_is_confirmed(monkeypatch):
-    from types import SimpleNamespace
-
-    import pyarrow as pa
-
-    few = "Zinc9 lAmpX, vELvet ruGs, 7oak DeSkQ, BrasS h0okj, Jute mATs, fIg cAndLe, wOOl 3quilT, KElp s0aP, qUartz bOwLy, hEMp bAg5."
-    none = few.replace(".", ", Fine. Good. Yes.")
-    raw = [x.encode() for x in (few, none)]
-    monkeypatch.setattr(stuffing, "stuffed_share", lambda text: 0.9)
-    assert stuffing.sentence_ends(few, 20) == stuffing.FEW_ENDS and min(map(stuffing.block_ratio, raw)) > 0.75
-    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([few, none]), pa.array(["en", "en"])], ["id", "text", "lang"])
-    share = lambda usual: next(stuffing._measure(SimpleNamespace(value={("en", stuffing._class(x)): usual for x in raw}))(iter([batch]))).column(6).to_pylist()
-    assert share(0.9)[0] > stuffing.SHARE and share(0.9)[1] == 0
-    assert share(1.2)[1] > stuffing.SHARE
+def test_verdict_needs_both_tests():
+    v = stuffing.verdict
+    assert v(0.7, 0.1, 0.7, 0.1) is True and v(0.4, 1.2, 0.7, 0.2) is True
+    assert v(0.9, 1.0, 0.9, 1.0) is False and v(0.76, 0.66, 0.76, 0.66) is False and v(0.7, 0.5, 0.7, 0.5) is None
+    # one test alone: the text is read
+    assert v(0.7, 1.0, 0.7, 1.0) is None and v(0.4, 1.0, 0.4, 0.9) is None and v(1.0, 0.1, 1.0, 0.1) is None and v(0.4, 1.0, 0.9, 0.1) is None
+    assert v(stuffing.REDUNDANT, stuffing.HARDLY, 9, 9) is True and v(stuffing.EXTREME, 9, stuffing.REDUNDANT, stuffing.FEW) is True
+
+
+def test_each_test_decides(spark):
+    """Prose that recurs is redundant with ordinary density, a version list has few sentences only: either test alone would take them."""
+    rng = random.Random(12)
+    normal = [". ".join(prose(rng, 9).capitalize() for _ in range(rng.randint(2, 12))) + "." for _ in range(300)]
+    versions = "\n".join(f"{rng.choice(WORDS)}-{rng.choice(WORDS)}@{i}.{rng.randint(0, 9)}.0" for i in range(40))
+    keywords = " ".join(rng.choice(["best code map", "code map", "free code map", "code map online"]) for _ in range(60))
+    paths = "\n".join(f"src/{a}/{a}_{b}.ts" for a in ("late", "dense") for b in ("hub", "map", "road", "sink"))
+    texts = {1000: (prose(rng, 9).capitalize() + ". ") * 12, 1001: versions, 1002: keywords, 1003: SPAM[2], 1004: paths}
+    df = spark.createDataFrame([(i, t, "en") for i, t in [*enumerate(normal), *texts.items()]], "id long, text string, lang string")
+    m = {r["id"]: r for r in stuffing.measure(df, "id", "text", "lang").where("id >= 1000").collect()}
+    assert m[1000]["norm"] <= stuffing.EXTREME and m[1000]["density"] > stuffing.FEW
+    assert m[1001]["norm"] > stuffing.REDUNDANT and m[1001]["density"] <= stuffing.FEW
+    assert m[1002]["norm"] <= stuffing.REDUNDANT and m[1002]["density"] <= stuffing.FEW
+    assert m[1003]["norm"] <= stuffing.EXTREME and m[1003]["density"] > stuffing.FEW
+    assert m[1004]["norm"] <= stuffing.REDUNDANT and m[1004]["density"] <= stuffing.FEW
+    assert {i: r["stuffed_by"] for i, r in m.items() if i != 1003} == {1000: None, 1001: None, 1002: "measures", 1004: None} and m[1003]["stuffed_by"]
+
+
+def test_fresh_sentences():
+    assert stuffing.fresh("One two three four. Five six seven eight.") == ("One two three four. Five six seven eight.", 0.25)
+    assert stuffing.fresh("One two three four. One two three four. Four three two one.") == ("One two three four. Four three two one.", 1 / 12)
+    assert stuffing.fresh("") == ("", 0) and stuffing.sentence_ends("a b ... . c") == 0
+    assert stuffing.sentence_ends('A b. "C d!" E?') == 3 / 5
 
 
 def test_long_keywords_beside_many_function_words():

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import lru_cache
 
-from lodeline.llm.syntax.base import Fault
+from lodeline.llm.syntax.base import NESTED, Fault, deep
 from lodeline.llm.syntax.eslex import CONTEXTUAL, KEYWORDS, pieces
 
 _NAMES = CONTEXTUAL | {"ID"}
@@ -29,10 +29,11 @@ def check(text: str, dialect: str) -> None:
         cut = min((k for k in (text.find("\n"), text.find("\r")) if k >= 0), default=len(text))
         text = text[cut:]
     ts = dialect in ("ts", "tsx")
-    for piece in pieces(text, dialect in ("tsx", "jsx"), ts):
-        why = (_verdict if len(piece) <= REMEMBERED else _parse)(piece, dialect)
-        if why:
-            raise Fault(why)
+    with deep():
+        for piece in pieces(text, dialect in ("tsx", "jsx"), ts):
+            why = (_verdict if len(piece) <= REMEMBERED else _parse)(piece, dialect)
+            if why:
+                raise Fault(why)
 
 
 #: Longer pieces are not remembered, so the memory of a worker stays within a few tens of megabytes.
@@ -40,13 +41,10 @@ REMEMBERED = 1000
 
 
 def _parse(piece: tuple[str, ...], dialect: str) -> str:
-    p = _Parser(piece, dialect)
     try:
-        p.program()
+        _Parser(piece, dialect).program()
     except Fault as f:
         return f.args[0]
-    except RecursionError:
-        return ""  # deeper than this checker follows: not judged invalid
     return ""
 
 
@@ -81,6 +79,8 @@ class _Parser:
         for k, x in enumerate(t):
             if x in ("(", "[", "{"):
                 stack.append(k)
+                if len(stack) > NESTED:
+                    raise Fault("delimiter")
             elif x in (")", "]", "}") and stack:
                 self.match[stack.pop()] = k
 

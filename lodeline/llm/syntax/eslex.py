@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 
-from lodeline.llm.syntax.base import CONFLICT, Fault
+from lodeline.llm.syntax.base import CONFLICT, NESTED, Fault
 
 KEYWORDS = frozenset(
     """break case catch class const continue debugger default delete do else enum export extends false finally for function if import in
@@ -186,6 +186,8 @@ class _Lexer:
             elif kind == _TPL:
                 if token.endswith("${") and len(token) > 1:
                     stack.append(("T", False))
+                    if len(stack) > NESTED:
+                        raise Fault("delimiter")
                     token = "TH"
                 elif len(token) > 1 and token[-1] == "`":
                     token = "TPL"
@@ -238,6 +240,8 @@ class _Lexer:
         """Lex the element that begins at ``at``; what its braces hold is lexed as code, set apart by ``J,``."""
         text = self.text
         self.stack.append(("<", False))
+        if len(self.stack) > NESTED:
+            raise Fault("delimiter")
         at = self.space(at + 1)
         name = ""
         if not text.startswith(">", at):

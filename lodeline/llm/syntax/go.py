@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 from functools import lru_cache
 
-from lodeline.llm.syntax.base import CLOSES, CONFLICT, Fault
+from lodeline.llm.syntax.base import CLOSES, CONFLICT, NESTED, Fault, deep
 
 KEYWORDS = frozenset(
     "break case chan const continue default defer else fallthrough for func go goto if import interface map package range return select struct switch type var".split()
@@ -35,11 +35,12 @@ def check(text: str) -> None:
     if text.startswith("﻿"):
         text = text[1:]
     first = True
-    for piece in _pieces(_tokens(text)):
-        why = (_verdict if len(piece) <= REMEMBERED else _parse)(piece, first)
-        if why:
-            raise Fault(why)
-        first = False
+    with deep():
+        for piece in _pieces(_tokens(text)):
+            why = (_verdict if len(piece) <= REMEMBERED else _parse)(piece, first)
+            if why:
+                raise Fault(why)
+            first = False
     if first:
         raise Fault("end")
 
@@ -78,6 +79,8 @@ def _tokens(text: str) -> list[str]:
             token = "NUM"
         elif token in "([{":
             stack.append(token)
+            if len(stack) > NESTED:
+                raise Fault("delimiter")
         elif token in CLOSES:
             if not stack or stack.pop() != CLOSES[token]:
                 raise Fault("delimiter")
@@ -123,8 +126,6 @@ def _parse(piece: tuple[str, ...], first: bool) -> str:
         p.end()
     except Fault as f:
         return f.args[0]
-    except RecursionError:
-        return ""  # deeper than this checker follows: not judged invalid
     return ""
 
 

@@ -65,6 +65,37 @@ def test_long_and_deep_texts():
     assert fault("[" * 5000, "go") == "delimiter"
 
 
+DEEP = 10_000
+
+
+def nested(before, opens, inner, closes, after=""):
+    return before + opens * DEEP + inner + closes * DEEP + after
+
+
+@pytest.mark.parametrize(
+    "dialect,before,opens,inner,closes,after,wrong",
+    [
+        ("ts", "x = ", "(", "1", ")", ";", "1 1"), ("mjs", "x = ", "[", "1", "]", ";", "1 1"), ("ts", "x = ", "{a: ", "1", "}", ";", "1 1"), ("cjs", "x = ", "f(", "1", ")", ";", "1 1"),
+        ("ts", "", "if (a) {", "b();", "}", "", "b c"), ("ts", "x = ", "(a) => {", "1", "}", ";", "1 1"), ("ts", "type A = ", "(", "B", ")", ";", "B C"), ("ts", "x = ", "`${", "1", "}`", ";", "1 1"),
+        ("tsx", "x = ", "<a>", "t", "</a>", ";", "}"), ("jsx", "x = ", "<a>{", "t", "}</a>", ";", "t t"), ("mjs", "x = ", "! ", "1", "", ";", ""), ("ts", "x = ", "a ? b : ", "1", "", ";", ""), ("ts", "x = ", "a => ", "1", "", ";", ""),
+        ("go", "package a\nvar x = ", "(", "1", ")", "\n", "1 1"), ("go", "package a\nvar x = T", "{", "1", "}", "\n", "1 1"), ("go", "package a\nfunc f() {", "if a {", "b()", "}", "}\n", "b c"), ("go", "package a\nvar x = ", "- ", "1", "", "\n", ""),
+        ("py", "x = ", "(", "1", ")", "\n", "1 1"), ("py", "x = ", "[", "1, 2", "]", "\n", "1 2"), ("py", "x = ", "f(", "a=1", ")", "\n", "a=1, 2"), ("py", "x = ", "{1: ", "2", "}", "\n", "2 2"), ("py", "", "(", "x", ")", " = 1\n", "x + 1"), ("py", "x = ", "not ", "1", "", "\n", ""),
+        ("py", "x = ", "[(f(-", "1", "))]", "\n", "1 1"), ("py", "x = a", "[", "b", "]", "\n", "b c"), ("py", "", "if a: pass\nel", "if b: pass", "", "\n", "if b pass"),
+    ],
+)
+def test_ten_thousand_deep(dialect, before, opens, inner, closes, after, wrong):
+    assert fault(nested(before, opens, inner, closes, after), dialect) is None
+    assert fault(nested(before, opens, wrong, closes, after), dialect) is not None
+    if closes:
+        assert fault(nested(before, opens, inner, closes, " + ") if after != " = 1\n" else nested(before, opens, inner, closes, " = "), dialect) is not None or not closes.endswith((")", "]"))
+
+
+def test_deeper_than_any_compiler_is_a_fault():
+    n = 100_001
+    for dialect, head in (("ts", "x = "), ("go", "package a\nvar x = "), ("py", "x = ")):
+        assert fault(head + "(" * n + "1" + ")" * n + "\n", dialect) == "delimiter"
+
+
 def test_operator(spark):
     data = [
         (1, 1, "a.ts", "let a = 1", 0), (1, 1, "a.ts", "let a = 1", 0), (2, 1, "b.TS", "let a = ", 0), (3, 1, "c.json", "{", 0), (4, 2, "d.py", None, 0), (None, 2, "e.py", "x = (", 0),

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from lodeline.llm import leakage, provenance, stuffing
@@ -77,44 +78,133 @@ def naive(own, text):
     return any(tuple(text[i : i + leakage.RUN]) in grams for i in range(len(text) - leakage.RUN + 1))
 
 
+def longest_common(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        before = 0
+        for j, y in enumerate(b, 1):
+            before, row[j] = row[j], before + 1 if x == y else max(row[j], row[j - 1])
+    return row[-1]
+
+
+def brute_passage(own, text):
+    """By the definition: some 30 to 59 own words in a row have four in five in order within twice their length of text."""
+    for size in range(leakage.PASSAGE, min(leakage.LONGEST, len(own)) + 1):
+        for a in range(len(own) - size + 1):
+            part = own[a : a + size]
+            for s in range(max(1, len(text) - 2 * size + 1)):
+                window = text[s : s + 2 * size]
+                if 5 * sum(w in window for w in part) >= 4 * size and 5 * longest_common(part, window) >= 4 * size:
+                    return True
+    return False
+
+
 def test_runs_equal_naive_search():
     rng = random.Random(6)
-    own = {i: prose(rng, rng.randint(20, 60)).split() for i in range(30)}
+    own = [prose(rng, rng.randint(20, 60)).split() for i in range(30)] + [["solo"], ["two", "words"]]
     search = leakage.WuManber(own)
+    texts = []
     for _ in range(300):
-        item = rng.choice(list(own))
+        item = rng.randrange(30)
         n = rng.randint(10, 16)
         a = rng.randint(0, max(0, len(own[item]) - n))
-        text = prose(rng, rng.randint(0, 30)).split() + own[item][a : a + n] + prose(rng, 20).split()
-        expect = {i for i, w in own.items() if naive(w, text)}
-        assert expect <= set(search.leaks(text))
-        assert {i for i, p in search.seeds(text).items() if leakage._run(p) >= leakage.RUN} == expect
-
-
-def test_passages():
+        texts.append(prose(rng, rng.randint(0, 30)).split() + own[item][a : a + n] + prose(rng, 20).split())
+    texts += [[], ["solo"], own[3], own[3][:12], own[3][:13]]
+    runs = {(k, i) for k, t in enumerate(texts) for i, w in enumerate(own) if naive(w, t)}
+    got = set(search.leaks(texts))
+    assert runs <= got
+    assert all(brute_passage(own[i], texts[k]) for k, i in got - runs)
+    assert {(0, i) for i, w in enumerate(own) if naive(w, texts[7])} <= set(search.leaks([texts[7]]))
+    assert search.leaks([]) == search.leaks([[]]) == search.leaks([["a"], ["b"]]) == []
+
+
+def damaged(rng, own, size, lost, added):
+    """A passage of ``size`` own words of which ``lost`` are dropped or changed, the first and the last not spared, with words added in places."""
+    a = rng.randint(0, len(own) - size)
+    out = list(own[a : a + size])
+    for k in rng.sample(range(size), lost):
+        out[k] = None if rng.random() < 0.5 else f"other{rng.randint(0, 99)}"
+    for k in sorted(rng.sample(range(size), added), reverse=True):
+        out[k] = [out[k], *(f"added{rng.randint(0, 99)}" for _ in range(rng.randint(1, 3)))]
+    return [w for x in out for w in (x if isinstance(x, list) else [x]) if w is not None]
+
+
+def test_damaged_passages_equal_brute_force():
+    rng = random.Random(7)
+    found = 0
+    for round_ in range(60):
+        own = prose(rng, rng.choice([30, 34, 41, 60])).split() if round_ % 3 else [f"w{i}" for i in range(60)]
+        text = prose(rng, rng.randint(0, 9)).split() + damaged(rng, own, rng.randint(28, len(own)), rng.randint(4, 8), rng.choice([0, 0, 1])) + prose(rng, rng.randint(0, 9)).split()
+        expect = brute_passage(own, text)
+        number = {w: i + 1 for i, w in enumerate(dict.fromkeys([*own, *text]))}
+        assert leakage.passage([number[w] for w in own], [number[w] for w in text]) == expect
+        search = leakage.WuManber([own])
+        if expect or naive(own, text):
+            found += 1
+            assert search.leaks([text]) == [(0, 0)], (own, text)
+            # whatever is put around a passage, it stays found
+            for more in (own[len(own) // 2 :], own[:11], prose(rng, 300).split()):
+                assert search.leaks([text + more]) == search.leaks([more + text]) == search.leaks([more + text + more]) == [(0, 0)]
+        else:
+            assert search.leaks([text]) == []
+    assert 15 < found < 55
+
+
+def test_six_of_thirty_lost_at_any_place():
+    own = [f"w{i}" for i in range(30)]
+    rng = random.Random(11)
+    search = leakage.WuManber([own])
+    for lost in [range(6), range(24, 30), (0, 1, 2, 27, 28, 29), (0, 29, 5, 10, 15, 20), (0, 6, 12, 18, 24, 29), *(rng.sample(range(30), 6) for _ in range(200))]:
+        text = [w for i, w in enumerate(own) if i not in lost]
+        assert search.leaks([text]) == [(0, 0)]
+        assert search.leaks([[w if i not in lost else "x" for i, w in enumerate(own)]]) == [(0, 0)]
+    short = [w for i, w in enumerate(own) if i % 4]
+    assert search.leaks([short]) == []  # 22 of 30
+    assert leakage.WuManber([own[:29]]).leaks([own[:6] + own[7:15] + own[16:29]]) == [(0, 0)]  # the run of 13
+    assert leakage.WuManber([own[:29]]).leaks([own[:6] + own[7:15] + own[16:26]]) == []  # shorter than a passage
+
+
+def test_order_counts():
     rng = random.Random(7)
     own = [f"{w}{i}" for i, w in enumerate(prose(rng, 60).split())]
-    search = leakage.WuManber({1: own})
-    drop = [w for i, w in enumerate(own) if i % 7]  # six of seven kept
-    assert search.leaks(drop) == [1]
-    half = [w for i, w in enumerate(own) if i % 4 < 2]
-    assert search.leaks(half) == []
+    search = leakage.WuManber([own])
+    assert search.leaks([[w for i, w in enumerate(own) if i % 4 < 2]]) == []
     shuffled = [own[i : i + 9] for i in range(0, 60, 9)]
-    rng.shuffle(shuffled)
-    assert search.leaks([w for s in reversed(shuffled) for w in s]) == []
-    assert search.leaks(own[:12]) == [] and search.leaks(own[:13]) == [1]
+    assert search.leaks([[w for s in reversed(shuffled) for w in s]]) == []
+
+
+def test_search_tables_stay_small():
+    """About fifty bytes a word: a block of two million words stays far under a gigabyte."""
+    rng = np.random.default_rng(5)
+    own = [[f"t{x}" for x in rng.zipf(1.3, 100) % 200_000] for _ in range(2000)]
+    search = leakage.WuManber(own)
+    size = sum(x.nbytes for x in (search.text, search.begin, search.item_of, search.at, search.keys, search.shift))
+    assert size / 200_000 < 50
+
+
+def test_own_texts(spark):
+    stock = "Pick one of these."
+    items = [(1, f" {stock} Alpha beta gamma? Do not guess.  "), (1, f" {stock} Alpha beta gamma? Do not guess.  "), (2, f"{stock} Delta!\nDo not guess."), (3, None), (4, " "), (5, "again"), (6, f"{stock} Do not guess."), (None, "x"), (7, "Own opening. Epsilon. Do not guess."), (8, stock)]
+    got = {r["item"]: r["own"] for r in leakage.own_texts(spark.createDataFrame(items, "own long, prompt string"), "own", "prompt").collect()}
+    assert got == {1: ["alpha", "beta", "gamma"], 2: ["delta"], 5: ["again"], 7: ["own", "opening", "epsilon"]}
 
 
-def test_leaks_on_frames(spark):
+def test_leaks_on_frames(spark, monkeypatch):
     rng = random.Random(8)
     stock = "Pick one of these."
-    items = [(i, f" {stock} {prose(rng, 40)}. Do not guess.  ") for i in range(3)] + [(9, None), (10, ""), (0, "again")]
+    bodies = [prose(rng, 40) for _ in range(3)]
+    items = [(i, f" {stock} {body}. Do not guess.  ") for i, body in enumerate(bodies)] + [(9, None), (10, ""), (0, "zz again")]
     df = spark.createDataFrame(items, "item long, prompt string")
-    body = leakage.own_texts(items[:3])[1]
+    body = bodies[1].split()
     docs = spark.createDataFrame([(1, "x " + " ".join(body).upper(), 0), (2, stock + " Do not guess.", 0), (3, None, 0), (4, "", 0), (5, "y " * 20000 + " ".join(body[:13]), 0)], "doc long, text string, prompt int")
     assert sorted(tuple(r) for r in leakage.leaks(docs, "doc", "text", df, "item", "prompt").collect()) == [(1, 1), (5, 1)]
     assert leakage.leaks(docs, "doc", "text", df.limit(0), "item", "prompt").count() == 0
     assert leakage.leaks(docs.limit(0), "doc", "text", df, "item", "prompt").count() == 0
+    # many blocks, one scan of the documents
+    monkeypatch.setattr(leakage, "BLOCK_WORDS", 50)
+    many = leakage.leaks(docs, "doc", "text", df, "item", "prompt")
+    assert sorted(tuple(r) for r in many.collect()) == [(1, 1), (5, 1)]
+    assert many._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
 
 
 # --- mixture

@@ -75,7 +75,7 @@ def p2_kinds(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _not_handwritten(spark: SparkSession, d: str) -> DataFrame:
-    return not_handwritten(table(spark, d, "walked_files"), "file_id", "repo_id", "path", "source_text")
+    return not_handwritten(table(spark, d, "walked_files"), "file_id", "repo_id", "path", "source_text", table(spark, d, "walk_options"))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:

@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+import xxhash
 
 from lodeline.llm import leakage, provenance, stuffing
 from lodeline.llm.mixture import Mixture, _thresholds, count_tokens
@@ -31,12 +32,102 @@ def test_notices_in_comments_only():
     assert judged("a/b.ts", "// Code generated by x. DO NOT EDIT.\n" + body) == "generated"
     assert judged("a/b.py", body + "\n# Automatisch erzeugt aus x. Nicht bearbeiten.\n") == "generated"
     assert judged("a/b.ts", "// Licensed to the team\n// Copied from libx release 1.2\n" + body) == "vendored"
+    assert judged("a/b.go", "package a\n" + body + "\n// Generated by the x compiler.\n:wq\n") == "generated"
     assert judged("a/b.ts", body + 'const banner = "Code generated by x. DO NOT EDIT.";\n') == ""
     assert judged("a/b.ts", "// unlike the generated stubs, kept by hand; do not edit lightly\n" + body) == ""
     assert judged("node_modules/x/a.ts", body) == ""
     assert judged("a.min.js", "") == ""
 
 
+LICENCE = "".join(f"// {line}\n" for line in ["Copyright 2021 The Acme Authors.", *(f"Permission is granted under condition {i} of this text." for i in range(25))])
+
+
+@pytest.mark.parametrize(
+    "notice",
+    [
+        "// Code generated by protoc. DO NOT EDIT. TODO(x): regen", "// This file was automatically generated by x from y.idl.", "/* eslint-disable */\n// @generated by relay", "// Autogenerated on every build. Do not modify by hand.",
+        "/*\n * AUTO-GENERATED FILE - any changes will be lost.\n */", "// Hand edits are overwritten.", "// <auto-generated />", "// fichier produit par x, ne pas modifier", "// Please don't edit this file directly!", "// Archivo generado automáticamente. No editar.",
+        "// Diese Datei wurde automatisch erstellt.", "// Machine written from a.tbl, please leave it alone.", "// generated by x 1.2", "// File generated from schema.graphql", LICENCE + "//\n// Code generated by x. DO NOT EDIT.",
+        "import a from './a';\nimport {\n  b,\n} from './b';\n\n// Generated by the x compiler. Source: y.idl",
+    ],
+)
+def test_what_is_a_notice_of_generation(notice):
+    body = "export const alpha = beta(gamma);\n" * 5
+    assert judged("a/b.ts", notice + "\n" + body) == "generated"
+    last = notice.rsplit("\n", 1)[-1]
+    assert judged("a/b.ts", body + "\n" + last + "\n") == ("generated" if last.startswith("//") else "")
+
+
+@pytest.mark.parametrize(
+    "comment",
+    [
+        "// The caller must not modify the slice that is returned; do not modify the slice that is returned", "// The output is generated from templates.", "// This module writes files that are generated from templates", "// unlike the generated stubs, this wrapper is written and kept by hand",
+        "// TODO: do not edit the table by hand once x can write it", "// Generates code for the parser", "// kept by hand; do not edit lightly", "// adapted from the old parser", "// Tests for the generated client. Changes to the schema are lost on restart.", "// built from parts", "// Imported from the other package lazily", LICENCE,
+        "// Copyright The Acme Authors and contributors", "// Licensed under the Meadow Permissive License 2.", "// Copyright (c) the project team. All rights reserved.", "// see upstream: it is slow", "// automatic retries", "// never change the order",
+    ],
+)
+def test_what_is_no_notice(comment):
+    assert judged("a/b.ts", comment + "\n" + "export const alpha = beta(gamma);\n" * 5) == ""
+
+
+def test_notices_of_origin():
+    body = "const alpha = beta(gamma);\n" * 5
+    for n in ("Imported from upstream libx@1.2; local patches below.", "Upstream: https://code.libx.example/", "This file is derived from https://x.example/a.js", "Vendored from libx v2", "Ported from libx (release 3)"):
+        assert judged("a/b.ts", f"// {n}\n" + body) == "vendored"
+    read = provenance.Notices().read
+    assert read(["// Copyright (c) 2019-2021, Ann Lee and contributors", "x"]) == ("", "ann lee", True)
+    assert read(["// libx - v1.2.3 - all rights held by Ann Lee\r", "x"]) == ("", "ann lee", True)
+    assert read(["# SPDX-License-Identifier: X", "# Copyright the project team", "x"]) == ("", None, True)
+    assert read(["x", "// Copyright Ann Lee", "y"]) == ("", None, False)
+
+
+def test_minified_suffix_lowers_the_bars():
+    text = "var a=1,b=a+2,c=b*a;function d(e,f){return e+f*a}d(a,b);d(b,c);" + "x=d(a,c);" * 3
+    assert judged("lib/a.min.js", text) == judged("lib/a-min.js", text) == judged("lib/a.3f2a9c1d.js", text) == "minified"
+    assert judged("lib/a.js", text) == judged("lib/admin.js", text) == judged("lib/min.js", text) == ""
+    assert judged("lib/a.min.js", "export function total(items) {\n  return items.length;\n}\n") == ""
+
+
+def test_foreign_holders(spark):
+    lib = {i: code(random.Random(40 + i), f"L{i}") for i in range(4)}
+    own = lambda i: code(random.Random(100 + i), f"Own{i}")
+    team, ann = "// Copyright (c) Acme Corp\n", "// Copyright (c) Ann Lee and contributors\n"
+    rows = [(repo * 100 + i, repo, f"src/f{i}.ts", team + own(repo * 100 + i)) for repo in (1, 2) for i in range(4)]
+    rows += [(150, 1, "src/a.ts", ann + lib[0]), (250, 2, "src/b.ts", ann + lib[1]), (300, 3, "src/c.ts", "// Copyright (c) Bob Ray\n" + lib[2]), (350, 3, "src/d.ts", lib[3])]
+    df = spark.createDataFrame(rows, "id long, repo long, path string, text string")
+    # Acme holds most files of two repositories, Ann few of two, Bob one of one
+    assert {tuple(r) for r in provenance.not_handwritten(df, "id", "repo", "path", "text").collect()} == {(150, "vendored"), (250, "vendored")}
+
+
+def test_walk_excludes_are_evidence(spark):
+    lib = code(random.Random(50), "Lib")
+    rows = [(1, 1, "libs/a.ts", lib), (2, 2, "stuff/a.ts", lib.replace("return", "return 0 +", 2)), (3, 3, "src/z.ts", code(random.Random(51), "Z")), (4, 1, "libs/own.ts", code(random.Random(52), "Y"))]
+    df = spark.createDataFrame(rows, "id long, repo long, path string, text string")
+    options = spark.createDataFrame([(0, ["dist/"]), (1, ["libs/", None, "[bad"]), (2, ["stuff/*.ts"]), (3, None)], "repo long, excludes array<string>")
+    assert {r["file"] for r in provenance.not_handwritten(df, "id", "repo", "path", "text", options).collect()} == {1, 2}
+    assert provenance.not_handwritten(df, "id", "repo", "path", "text").count() == 0
+    assert provenance.not_handwritten(df, "id", "repo", "path", "text", options.limit(0)).count() == 0
+
+
+def test_recall_of_the_bands():
+    """Share of copies found by similarity of their line pairs: the signature's estimate and the bands together."""
+    rng = np.random.default_rng(9)
+    a = np.random.default_rng(7).integers(1, 2**63, provenance.HASHES, dtype=np.uint64) | np.uint64(1)
+    recall = {}
+    for alike in (0.5, 0.6, 0.7, 0.8, 0.9):
+        hits = 0
+        for _ in range(400):
+            both = round(60 * 2 * alike / (1 + alike))
+            words = [f"line number {x} of this text" for x in rng.integers(0, 1 << 40, 120 - both)]
+            sets = [set(words[:60]), set(words[60 - both :])]
+            sigs = [((np.array([xxhash.xxh64_intdigest(p) for p in s], np.uint64)[:, None] * a) >> np.uint64(32)).min(0) for s in sets]
+            same = sigs[0] == sigs[1]
+            bands = any(same[k * provenance.ROWS : (k + 1) * provenance.ROWS].all() for k in range(provenance.BANDS))
+            hits += bands and same.sum() >= provenance.ALIKE * provenance.HASHES
+        recall[alike] = hits / 400
+    assert recall[0.5] >= 0.9 and min(recall[x] for x in (0.6, 0.7, 0.8, 0.9)) >= 0.97, recall
+
+
 def test_shape():
     assert judged("a.py", "".join(f"_T[{i}] = ({i * 7 % 5}, 3)\n" for i in range(30))) == "generated"
     assert judged("a.ts", "".join(f"export function getName{i}(m) {{\n  return m.f[{i}];\n}}\n" for i in range(20))) == "generated"

@@ -6,9 +6,10 @@ by that count and shuffled globally by another seeded hash.
 
 The Poisson mean of a source is calibrated: copies never fall when the mean rises, so the mean is chosen by bisection such that
 the tokens really drawn come as near to the target as whole documents allow (with plain means a source of few documents
-would miss its share by the noise of the draw). The calibration sees tokens summed by source and by the ``2**BITS``
-steps of the uniform number, a bounded table; a source that cannot reach its share under its cap gets every document
-``max_repeats`` times and is reported as it is.
+would miss its share by the noise of the draw). The draw has 53 bits. The calibration sees tokens summed by source and by the
+``2**BITS`` steps of the draw, which bounds the mean from both sides; the few steps that a boundary of the distribution crosses between these
+bounds are then summed by ``2**BITS`` steps each. Both tables are bounded, and 2**-32 of a source is told apart, so a rate far below one in a million still
+draws single documents. A source that cannot reach its share under its cap gets every document ``max_repeats`` times and is reported as it is.
 """
 
 from __future__ import annotations
@@ -54,40 +55,83 @@ def count_tokens(docs: DataFrame, doc_id: str, text: str, vocabulary: str, carry
     return spread(docs.select(doc_id, *carry, F.col(text).alias("__text"))).mapInArrow(run, f"{fields}, tokens long")
 
 
-def _thresholds(mean: float, cap: int) -> list[float]:
+def _thresholds(mean: float, cap: int) -> np.ndarray:
     """Distribution function of Poisson(mean) at 0 .. cap-1: a draw above k of them makes k copies."""
     if math.isinf(mean):
-        return [-1.0] * cap
+        return np.full(cap, -1.0)
     if mean <= 0:
-        return [2.0] * cap
+        return np.full(cap, 2.0)
     k = np.arange(cap)
     logs = k * math.log(mean) - mean - np.array([math.lgamma(i + 1) for i in k])
-    return np.minimum(np.cumsum(np.exp(logs)), 1.0).tolist()
+    return np.minimum(np.cumsum(np.exp(logs)), 1.0)
 
 
-def _calibrate(target: float, cap: int, bins: np.ndarray, tokens: np.ndarray) -> float:
-    """The mean at which the drawn tokens are nearest to the target."""
-    u = (bins + 0.5) / (1 << BITS)
+def _drawn(mean: float, cap: int, u: np.ndarray, tokens: np.ndarray) -> int:
+    return int((np.searchsorted(_thresholds(mean, cap), u, side="left") * tokens).sum())
 
-    def drawn(mean: float) -> int:
-        return int((np.searchsorted(_thresholds(mean, cap), u, side="left") * tokens).sum())
 
+def _bisect(low: float, high: float, enough) -> tuple[float, float]:  # noqa: ANN001
+    """``low`` and ``high`` brought together: ``enough`` is false at the one and true at the other."""
+    for _ in range(120):
+        mid = (low + high) / 2
+        if mid in (low, high):
+            break
+        low, high = (low, mid) if enough(mid) else (mid, high)
+    return low, high
+
+
+def _bounds(target: float, cap: int, bins: np.ndarray, tokens: np.ndarray) -> tuple[float, float]:
+    """Means between which the tokens drawn pass the target, wherever in its step each document lies."""
     if target >= cap * tokens.sum():
-        return math.inf
+        return math.inf, math.inf
     if target <= 0:
-        return 0.0
-    low, high = 0.0, max(1.0, float(cap))
-    while drawn(high) < target:
-        high *= 2
-    for _ in range(80):
-        mid = (low + high) / 2
-        low, high = (mid, high) if drawn(mid) < target else (low, mid)
-    return low if target - drawn(low) <= drawn(high) - target else high
+        return 0.0, 0.0
+    left, right = bins / (1 << BITS), (bins + 1) / (1 << BITS)
+    top = max(1.0, float(cap))
+    while _drawn(top, cap, left, tokens) < target:
+        if top > 700 + 8 * cap:  # every document's last copy is near: only the first step is left
+            return _bisect(0.0, top, lambda m: _drawn(m, cap, right, tokens) > target)[0], math.inf
+        top *= 2
+    return _bisect(0.0, top, lambda m: _drawn(m, cap, right, tokens) > target)[0], _bisect(0.0, top, lambda m: _drawn(m, cap, left, tokens) >= target)[1]
+
+
+def _open(low: float, high: float, cap: int, bins: np.ndarray) -> np.ndarray:
+    """Which steps hold a boundary of the distribution for some mean between the two."""
+    if math.isinf(low) or high <= 0:
+        return np.zeros(len(bins), bool)
+    first, last = np.floor(_thresholds(high, cap) * (1 << BITS)), np.floor(_thresholds(low, cap) * (1 << BITS))
+    return ((bins[:, None] >= first[None, :] - 1) & (bins[:, None] <= last[None, :] + 1)).any(1)
+
+
+def _settle(target: float, low: float, high: float, cap: int, u: np.ndarray, tokens: np.ndarray, rest: int) -> float:
+    """The mean between the two at which ``rest`` and the tokens drawn at ``u`` are nearest to the target."""
+    if low == high:
+        return low
+    if math.isinf(high):
+        high = 1400.0 + 16 * cap
+        if rest + _drawn(high, cap, u, tokens) < target:
+            return math.inf
+    a, b = _bisect(low, high, lambda m: rest + _drawn(m, cap, u, tokens) >= target)
+    below, above = _drawn(a, cap, u, tokens), _drawn(b, cap, u, tokens)
+    # ``u`` is the middle of a step; the boundary goes beside the step, not through it
+    half = 0.5 / (1 << 2 * BITS)
+    if target - rest - below <= rest + above - target:
+        return _bisect(low, a, lambda m: _drawn(m, cap, u + half, tokens) > below)[0]
+    return _bisect(b, high, lambda m: _drawn(m, cap, u - half, tokens) >= above)[1]
 
 
 def draw(column: Column | str, seed: int) -> Column:
-    """The step of the uniform number of an id."""
-    return F.shiftrightunsigned(F.xxhash64(F.col(column) if isinstance(column, str) else column, F.lit(seed)), 64 - BITS)
+    """The 64 bits drawn for an id."""
+    return F.xxhash64(F.col(column) if isinstance(column, str) else column, F.lit(seed))
+
+
+def _step(level: int) -> Column:
+    """The step of the draw: its first BITS bits, or the BITS bits after them."""
+    return F.shiftrightunsigned("__draw", 64 - BITS * level).bitwiseAND(F.lit((1 << BITS) - 1).cast("long"))
+
+
+#: The draw as a number between 0 and 1.
+_U = "(shiftrightunsigned(__draw, 11) + 0.5D) / 9007199254740992D"
 
 
 class Mixture:
@@ -99,7 +143,7 @@ class Mixture:
 
     def __init__(self, sized: DataFrame, doc_id: str, key: str, targets: DataFrame, seed: int = 17):
         self.doc_id, self.key, self.seed = doc_id, key, seed
-        self.sized = cut(sized.withColumn("__bin", draw(doc_id, seed)))
+        self.sized = cut(sized.withColumn("__draw", draw(doc_id, seed)))
         # one row a target: as many as the report has lines
         rows = targets.select(key, "source_name", "target_share", F.greatest(F.coalesce("max_repeats", F.lit(1)), F.lit(0)).alias("cap")).collect()
         if len({r[key] for r in rows}) != len(rows):
@@ -110,30 +154,51 @@ class Mixture:
             [(r[key], r["source_name"], float(r["target_share"] or 0.0), int(r["cap"]), float(r["target_share"] or 0.0) * budget) for r in rows],
             f"`{key}` string, source_name string, target_share double, cap int, goal double",
         )
-        steps = self.sized.join(F.broadcast(goal), key).groupBy(key, "source_name", "target_share", "cap", "goal", "__bin").agg(F.sum("tokens").alias("tokens"))
+        small = goal.select(key, "cap", "goal")
+        steps = self.sized.join(F.broadcast(small), key).groupBy(key, "cap", "goal", _step(1).alias("__bin")).agg(F.sum("tokens").alias("tokens"))
 
-        def solve(names: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-            cap, goal_tokens = int(pdf["cap"].iloc[0]), float(pdf["goal"].iloc[0])
+        def bound(names: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+            cap, target = int(pdf["cap"].iloc[0]), float(pdf["goal"].iloc[0])
             bins, tokens = pdf["__bin"].to_numpy(np.int64), pdf["tokens"].to_numpy(np.int64)
-            levels = _thresholds(_calibrate(goal_tokens, cap, bins, tokens), cap)
-            return pd.DataFrame({key: [names[0]], "levels": [levels], "tokens_available": [int(tokens.sum())]})
+            low, high = _bounds(target, cap, bins, tokens)
+            undecided = _open(low, high, cap, bins)
+            rest = _drawn(low, cap, (bins[~undecided] + 0.5) / (1 << BITS), tokens[~undecided])
+            return pd.DataFrame({key: [names[0]], "low": [low], "high": [high], "rest": [rest], "bins": [bins[undecided].tolist()], "tokens_available": [int(tokens.sum())]})
+
+        # at most 2**BITS steps a target
+        bounds = cut(steps.groupBy(key).applyInPandas(bound, f"`{key}` string, low double, high double, rest long, bins array<long>, tokens_available long"))
+        undecided = bounds.select(key, F.explode("bins").alias("__bin"))
+        fine = (
+            self.sized.withColumn("__bin", _step(1))
+            .join(F.broadcast(undecided), [key, "__bin"])
+            .groupBy(key, ((F.col("__bin") * (1 << BITS)) + _step(2)).alias("__fine"))
+            .agg(F.sum("tokens").alias("tokens"))
+        )
+        known = bounds.join(goal, key).select(key, "cap", "goal", "low", "high", "rest", "tokens_available")
+
+        def settle(names: tuple, have: pd.DataFrame, parts: pd.DataFrame) -> pd.DataFrame:
+            h = have.iloc[0]
+            cap = int(h["cap"])
+            u = (parts["__fine"].to_numpy(np.float64) + 0.5) / (1 << 2 * BITS)
+            mean = _settle(float(h["goal"]), float(h["low"]), float(h["high"]), cap, u, parts["tokens"].to_numpy(np.int64), int(h["rest"]))
+            return pd.DataFrame({key: [names[0]], "levels": [_thresholds(mean, cap).tolist()], "tokens_available": [int(h["tokens_available"])]})
 
-        solved = steps.groupBy(key).applyInPandas(solve, f"`{key}` string, levels array<double>, tokens_available long")
+        solved = known.groupBy(key).cogroup(fine.groupBy(key)).applyInPandas(settle, f"`{key}` string, levels array<double>, tokens_available long")
         self.plan = cut(goal.join(solved, key, "left"))
 
     def documents(self) -> DataFrame:
         """The rows of the mixture, each once a copy, in a global random order: ``doc_id, key, tokens, copy, source_name, place``."""
-        u = (F.col("__bin") + 0.5) / float(1 << BITS)
+        u = F.expr(_U)
         levels = F.broadcast(self.plan.select(self.key, "source_name", "levels"))
         copies = F.size(F.filter("levels", lambda t: t < u))
         out = self.sized.join(levels, self.key).withColumn("copies", copies).where("copies > 0")
         out = out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
         place = F.xxhash64(F.col(self.doc_id), F.col("copy"), F.lit(self.seed + 1))
-        return out.withColumn("place", place).drop("__bin", "levels", "copies").orderBy("place", self.doc_id, "copy")
+        return out.withColumn("place", place).drop("__draw", "levels", "copies").orderBy("place", self.doc_id, "copy")
 
     def report(self) -> DataFrame:
         """Per target: tokens available, repeats (mean copies of a token), tokens used, target share, share of the mixture, share of the budget."""
-        u = (F.col("__bin") + 0.5) / float(1 << BITS)
+        u = F.expr(_U)
         copies = F.size(F.filter("levels", lambda t: t < u))
         used = (
             self.sized.join(F.broadcast(self.plan.select(self.key, "levels")), self.key)

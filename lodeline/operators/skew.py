@@ -33,3 +33,26 @@ def salted_lookup(left: DataFrame, right: DataFrame, on: list[str], count_col: s
         .drop("__hot")
     )
     return l2.join(r2, [*on, "__salt"], how).drop("__salt")
+
+
+#: Below so many rows of one key no task is in danger, and the join is left to the planner.
+MANY = 200_000
+
+
+def split_lookup(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+    """``left.join(right, on)`` for a ``right`` with at most one row per key, when nobody has counted the left rows of a key.
+
+    The keys are counted map-side first. Those with more than 1/HOT of all rows, fewer than HOT at any size, are looked up in a broadcast of
+    their right rows, so the rows of a hot key stay where they are; the others are joined as usual. ``left`` is read twice: cut it before.
+    """
+    sizes = left.groupBy(*on).agg(F.count(F.lit(1)).alias("__n"))
+    top = sizes.orderBy(F.desc("__n")).limit(HOT).collect()
+    if not top or top[0]["__n"] < MANY:
+        return left.join(right, on)
+    total = left.count()
+    hot = [tuple(r[c] for c in on) for r in top if r["__n"] * HOT > total]
+    if not hot:
+        return left.join(right, on)
+    keys = F.broadcast(left.sparkSession.createDataFrame(hot, left.select(*on).schema))
+    few = F.broadcast(right.join(keys, on, "left_semi"))
+    return left.join(few, on).unionByName(left.join(keys, on, "left_anti").join(right, on))

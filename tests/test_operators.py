@@ -358,3 +358,18 @@ def test_boards_hold_their_invariants(spark):
     assert hold_out(boards, facts, facts.limit(0), 4).count() == 0
     own = facts.withColumn("one", F.col("subject"))
     assert 0 < hold_out(boards, own, own.limit(0), 4).count() < 40
+
+
+def test_split_lookup_is_a_join(spark, monkeypatch):
+    from lodeline.operators import skew
+
+    left = spark.createDataFrame([(1, "hot" if i % 3 else f"k{i % 50}", i) for i in range(3000)] + [(None, "hot", -1), (1, None, -2)], "g int, k string, v int")
+    right = spark.createDataFrame([(1, "hot", "H"), (1, "k3", "T"), (1, "none", "N"), (2, "hot", "O")], "g int, k string, w string")
+    expect = sorted(tuple(r) for r in left.join(right, ["g", "k"]).collect())
+    assert sorted(tuple(r) for r in skew.split_lookup(left, right, ["g", "k"]).collect()) == expect
+    monkeypatch.setattr(skew, "MANY", 10)
+    split = skew.split_lookup(left, right, ["g", "k"])
+    assert sorted(tuple(r) for r in split.collect()) == expect
+    plan = split._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" in plan and "LeftAnti" in plan
+    assert skew.split_lookup(left.limit(0), right, ["g", "k"]).count() == 0

@@ -6,7 +6,8 @@ different labels. A round at least merges every node that is no local minimum, s
 makes long chains take logarithmically many joins. Each step is written to the shared checkpoint folder.
 
 Labels only ever fall to a smaller label of the same component, so the last label is the component's smallest node.
-Nothing is collected; a hub with a third of all links is aggregated map-side and its joins are salted.
+Nothing is collected. A hub with a third of all links is aggregated map-side and the relabelling of links is salted; where the nodes of a giant
+component meet their one root, that root's row is broadcast to them (``split_lookup``).
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodeline.operators.skew import salted_lookup
+from lodeline.operators.skew import salted_lookup, split_lookup
 from lodeline.session import cut
 
 
@@ -41,8 +42,10 @@ def components(links: DataFrame, a: str, b: str, scope: str | None = None, max_r
         if found is None:
             found = label.select(s, "node", "root")
         else:
+            # every root without a row of its own keeps itself
             step = label.select(s, F.col("node").alias("root"), F.col("root").alias("next"))
-            found = cut(found.join(step, [s, "root"], "left").select(s, "node", F.coalesce("next", "root").alias("root")))
+            rest = found.select(s, "root").distinct().join(step, [s, "root"], "left_anti").select(s, "root", F.col("root").alias("next"))
+            found = cut(split_lookup(found, cut(step.unionByName(rest)), [s, "root"]).select(s, "node", F.col("next").alias("root")))
         for end in ("u", "v"):
             to = label.select(s, F.col("node").alias(end), F.col("root").alias("to"), "links")
             edges = salted_lookup(edges, to, [s, end], "links", ["v" if end == "u" else "u"]).drop(end, "links").withColumnRenamed("to", end)
@@ -61,7 +64,7 @@ def _jump(label: DataFrame, s: str) -> DataFrame:
     """Follow every label to its root: root <- root of root until none changes."""
     while True:
         up = label.select(s, F.col("node").alias("root"), F.col("root").alias("next"))
-        moved = cut(label.join(up, [s, "root"]).select(s, "node", F.col("next").alias("root"), "links", (F.col("next") != F.col("root")).alias("moved")))
+        moved = cut(split_lookup(label, up, [s, "root"]).select(s, "node", F.col("next").alias("root"), "links", (F.col("next") != F.col("root")).alias("moved")))
         if moved.where("moved").isEmpty():
             return moved.drop("moved")
         label = moved.drop("moved")

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodeline.operators.skew import salted_lookup
+from lodeline.operators.skew import salted_lookup, split_lookup
 from lodeline.session import cut
 
 
@@ -70,10 +70,11 @@ def pairs(baskets: DataFrame, group: str, set_column: str, min_count: DataFrame,
         "set2",
     ).select(group, "weight", "item_a", F.explode(F.slice("set2", F.col("i") + 2, F.size("set2"))).alias("item_b"))
     counted = made.groupBy(group, "item_a", "item_b").agg(F.sum("weight").alias("n_ab"))
-    frequent = counted.join(totals, group).where(F.col("n_ab") >= F.col("min_count"))
+    frequent = cut(counted.join(totals, group).where(F.col("n_ab") >= F.col("min_count")))
     a = kept.select(group, F.col("item").alias("item_a"), F.col("n_item").alias("n_a"))
     b = kept.select(group, F.col("item").alias("item_b"), F.col("n_item").alias("n_b"))
-    scored = frequent.join(a, [group, "item_a"]).join(b, [group, "item_b"])
+    # a popular item stands in a great part of the pairs
+    scored = split_lookup(split_lookup(frequent, a, [group, "item_a"]), b, [group, "item_b"])
     product = F.col("n_a").cast("double") * F.col("n_b")
     return scored.where(F.col("n_ab").cast("double") * F.col("n") >= F.lit(float(lift)) * product).select(
         F.col(group).alias(out_group),

@@ -122,3 +122,20 @@ def test_components_of_a_long_chain_and_a_hub(spark):
     assert rows(components(df, "x", "y", "s")) == union_find(chain + hub)
     assert components(df.limit(0), "x", "y").count() == 0
     assert rows(components(spark.createDataFrame([(3, 2), (2, 9), (5, 5)], "a int, b int"), "a", "b")) == [(2, 2), (3, 2), (9, 2)]
+
+
+def test_giant_component_is_split(spark, monkeypatch):
+    """A star and a chain whose nodes all end at one root: the rows of the root's key are not sent to one task."""
+    from lodeline.operators import skew
+
+    n, m = 100_000, 12_000
+    star = spark.range(1, n).selectExpr("0L as x", "id as y")
+    chain = spark.range(n, n + m).selectExpr("id as x", "id + 1 as y")
+    monkeypatch.setattr(skew, "MANY", 20_000)
+    met = []
+    plain = skew.split_lookup
+    monkeypatch.setattr("lodeline.llm.components.split_lookup", lambda *a: met.append(plain(*a)) or met[-1])
+    got = components(star.unionByName(chain), "x", "y")
+    assert got.groupBy("group").count().orderBy("group").collect() == [(0, n), (n, m + 1)]
+    plans = [df._jdf.queryExecution().optimizedPlan().toString() for df in met]
+    assert any("Union" in p and "LeftAnti" in p for p in plans)

@@ -13,11 +13,15 @@ SCANNED = {"ts": "ts", "tsx": "tsx", "mts": "ts", "cts": "ts", "js": "js", "jsx"
 CARRIED = {"json": "json", "jsonc": "json", "md": "md"}
 #: Program source that is only counted.
 UNREAD = {
-    "rb": "Ruby", "rake": "Ruby", "rs": "Rust", "java": "Java", "kt": "Kotlin", "kts": "Kotlin", "scala": "Scala", "c": "C", "h": "C", "cc": "C++", "cpp": "C++",
-    "cxx": "C++", "hpp": "C++", "cs": "C#", "swift": "Swift", "php": "PHP", "lua": "Lua", "ex": "Elixir", "exs": "Elixir", "erl": "Erlang", "hs": "Haskell", "clj": "Clojure",
-    "dart": "Dart", "jl": "Julia", "zig": "Zig", "nim": "Nim", "ml": "OCaml", "sh": "Shell",
+    "rb": "Ruby", "rake": "Ruby", "rs": "Rust", "java": "Java", "kt": "Kotlin", "kts": "Kotlin", "scala": "Scala", "swift": "Swift", "mm": "Objective-C++", "c": "C", "h": "C",
+    "cc": "C++", "cpp": "C++", "cxx": "C++", "hh": "C++", "hpp": "C++", "hxx": "C++", "cs": "C#", "php": "PHP", "pm": "Perl", "ex": "Elixir", "exs": "Elixir", "erl": "Erlang",
+    "hrl": "Erlang", "hs": "Haskell", "lua": "Lua", "dart": "Dart", "jl": "Julia", "clj": "Clojure", "cljc": "Clojure", "cljs": "Clojure", "fs": "F#", "fsi": "F#", "fsx": "F#",
+    "ml": "OCaml", "mli": "OCaml", "nim": "Nim", "zig": "Zig", "cr": "Crystal", "elm": "Elm", "vue": "Vue", "svelte": "Svelte", "astro": "Astro", "sh": "Shell", "bash": "Shell",
+    "zsh": "Shell", "ps1": "PowerShell", "groovy": "Groovy", "r": "R", "tcl": "Tcl", "vb": "Visual Basic", "pas": "Pascal", "f90": "Fortran", "f95": "Fortran", "f03": "Fortran",
+    "gleam": "Gleam", "rkt": "Racket", "scm": "Scheme", "sol": "Solidity", "hx": "Haxe", "tf": "Terraform", "tfvars": "Terraform", "el": "Emacs Lisp", "nix": "Nix", "vim": "Vim script",
+    "proto": "Protocol Buffers",
 }
-#: Paths beside the point of a repository: tests, fixtures, examples, scripts, data and documents.
+#: Paths beside the point of a repository: tests, fixtures, examples, scripts, data and documents (fixed values).
 SIDESHOW = r"(?i)(^|/)(__)?(tests?|testutils?|testdata|fixtures?|benchmarks?|scripts?|examples?)(__)?(/|$)|\.(test|spec)\.|\.(json|md)$"
 
 

@@ -156,6 +156,7 @@ def communities(edges: DataFrame, rounds: int = 10, levels: int = 3, gamma: floa
     Local moving over DataFrames: in each round the nodes of one hash half look at the communities of their neighbours and take the one of
     largest gain (ties to the smaller label, staying put when nothing is gained); then communities become nodes and the rounds begin again.
     Halves alternate, so two neighbours never swap for ever. The order of visits differs from a sequential pass, so labels may too.
+    A level ends when both halves are quiet, after ``rounds`` halves at the latest: a bound on the work, not a settled state.
     """
     e = cut(edges.where("src <> dst").select("repo_id", F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), "weight").groupBy("repo_id", "src", "dst").agg(F.sum("weight").alias("weight")))
     nodes = e.select("repo_id", F.explode(F.array("src", "dst")).alias("node")).distinct()
@@ -208,14 +209,14 @@ def split_disconnected(edges: DataFrame, labels: DataFrame) -> DataFrame:
     return connected(inner, labels).select("repo_id", "node", F.col("part").alias("label"))
 
 
-def absorb_small(edges: DataFrame, labels: DataFrame, least: int = 3, rounds: int = 8) -> DataFrame:
+def absorb_small(edges: DataFrame, labels: DataFrame, least: int = 3) -> DataFrame:
     """Communities of fewer than ``least`` members join the neighbour they have most edges with (the lower label on a tie).
 
     In each round only small communities whose target is no small community of a larger label move, so two never swap; one without
-    neighbours stays as it is.
+    neighbours stays as it is. A round that moves anything leaves fewer communities, so the rounds end.
     """
     at = cut(labels.select("repo_id", "node", "label"))
-    for _ in range(rounds):
+    while True:
         size = at.groupBy("repo_id", "label").agg(F.count(F.lit(1)).alias("n"))
         a = at.select("repo_id", F.col("node").alias("src"), F.col("label").alias("la"))
         b = at.select("repo_id", F.col("node").alias("dst"), F.col("label").alias("lb"))
@@ -225,9 +226,8 @@ def absorb_small(edges: DataFrame, labels: DataFrame, least: int = 3, rounds: in
         best = cross.join(small, ["repo_id", "la"]).join(there, ["repo_id", "lb"]).groupBy("repo_id", "la").agg(F.min(F.struct((-F.col("w")).alias("w"), "lb", "nb")).alias("t"))
         move = best.where((F.col("t.nb") >= least) | (F.col("t.lb") < F.col("la"))).select("repo_id", F.col("la").alias("label"), F.col("t.lb").alias("to"))
         if move.isEmpty():
-            break
+            return at
         at = cut(at.join(move, ["repo_id", "label"], "left").select("repo_id", "node", F.coalesce("to", "label").alias("label")))
-    return at
 
 
 def describe(labels: DataFrame, prefixes: DataFrame) -> DataFrame:

@@ -154,6 +154,6 @@ def hold_out(boards: DataFrame, kind_facts: DataFrame, served: DataFrame, share:
         seen = facts_.join(held.where("h").select(*keys), keys, "left_anti").select("repo_id", "relation", "one", "other").distinct()
         refused = cut(out.join(seen, ["repo_id", "relation", "one", "other"], "left_semi").select(*keys).distinct())
         if refused.isEmpty():
-            break
+            return held.where("h").select(*keys)
         held = cut(held.join(refused.withColumn("r", F.lit(True)), keys, "left").select(*keys, (F.col("h") & F.col("r").isNull()).alias("h")))
-    return held.where("h").select(*keys)
+    raise RuntimeError(f"boards held back still give one another away after {max_rounds} rounds")

@@ -12,7 +12,8 @@ from lodeline.functions.paths import clean_path, dir_name, join_path, name_token
 from lodeline.operators import progress as P
 from lodeline.operators import spatial as S
 from lodeline.operators import validate as Q
-from lodeline.operators.resolve import capped_set, link_edges, package_name, resolve
+from lodeline.operators.ranking import top_per_group
+from lodeline.operators.resolve import link_edges, package_name, resolve
 from lodeline.operators.scan import scan_files
 from lodeline.plans import views as V
 from lodeline.plans.views import CLEAN, SQL
@@ -114,8 +115,10 @@ def import_edges(s: SparkSession, d: str) -> DataFrame:
 def externals_capped(s: SparkSession, d: str) -> DataFrame:
     """The packages each repository takes from outside: a sorted set of twenty at most, and how many were left out."""
     x = _resolved(s, d).where("outcome = 'external'").select("repo_id", package_name(F.col("specifier")).alias("p")).distinct()
-    kept, dropped = capped_set(F.collect_list("p"), 20)
-    return x.groupBy("repo_id").agg(F.array_join(kept, " ").alias("packages"), dropped.alias("dropped"))
+    # cut first, gather then: a repository may take any number of packages
+    first = top_per_group(x, ["repo_id"], [F.col("p")], 20).groupBy("repo_id").agg(F.array_join(F.array_sort(F.collect_list("p")), " ").alias("packages"))
+    total = x.groupBy("repo_id").agg(F.greatest(F.count(F.lit(1)) - 20, F.lit(0)).alias("dropped"))
+    return first.join(total, "repo_id")
 
 
 def _log(s: SparkSession, d: str) -> DataFrame:

@@ -200,9 +200,9 @@ def label_duplicates(s: SparkSession, d: str) -> DataFrame:
 
 
 def lifetime_pool(s: SparkSession, d: str) -> DataFrame:
-    """For each busy file: commits of its repository within its lifetime, and how many of them do not touch it."""
+    """For each file: commits of its repository within its lifetime, and how many of them do not touch it."""
     t = V.touches(s, d)
-    life = t.groupBy("repo_id", "path").agg(F.count(F.lit(1)).alias("touching"), F.min("commit_date").alias("lo"), F.max("commit_date").alias("hi")).where("touching >= 5")
+    life = t.groupBy("repo_id", "path").agg(F.count(F.lit(1)).alias("touching"), F.min("commit_date").alias("lo"), F.max("commit_date").alias("hi"))
     days = V.commits(s, d).where("commit_date is not null").groupBy("repo_id", "commit_date").agg(F.count(F.lit(1)).alias("n"))
     inside = life.join(days, "repo_id").where(F.col("commit_date").between(F.col("lo"), F.col("hi")))
     g = inside.groupBy("repo_id", "path", "touching").agg(F.sum("n").alias("inside"))
@@ -286,7 +286,7 @@ FROM cone c JOIN mm ON mm.repo_id = c.repo_id JOIN nd ON nd.repo_id = c.repo_id
     "distinct_keys": SQL + ", k AS (SELECT repo_id, dst AS node, count(*) AS n, string_agg(src, '|' ORDER BY src) AS key FROM edges GROUP BY ALL) SELECT repo_id, min(node) AS node, n, count(*) AS sharing FROM k GROUP BY repo_id, n, key",
     "label_duplicates": SQL + f""", f AS (SELECT DISTINCT repo_id, path, string_split(path, '/')[-1] AS base FROM files)
 SELECT repo_id, path, CASE WHEN count(*) OVER (PARTITION BY repo_id, base) > 1 AND len(string_split(path, '/')) > 1 THEN string_split(path, '/')[-2] || '/' || base ELSE base END AS label FROM f""",
-    "lifetime_pool": SQL + """, lf AS (SELECT repo_id, path, count(*) AS touching, min(commit_date) AS lo, max(commit_date) AS hi FROM touches GROUP BY ALL HAVING count(*) >= 5)
+    "lifetime_pool": SQL + """, lf AS (SELECT repo_id, path, count(*) AS touching, min(commit_date) AS lo, max(commit_date) AS hi FROM touches GROUP BY ALL)
 SELECT l.repo_id, l.path, touching, count(*) AS inside, count(*) - touching AS pool FROM lf l JOIN commits c ON c.repo_id = l.repo_id AND commit_date BETWEEN lo AND hi GROUP BY l.repo_id, l.path, touching""",
     "eval_scores": "SELECT suite, floor(avg(tier) * 100 + 0.5) / 100 AS mean_tier, count(*) - count(tier) AS untiered, count(*) AS items FROM eval_items GROUP BY suite",
 }

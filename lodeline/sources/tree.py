@@ -18,12 +18,18 @@ SNIFF = 8192
 
 
 def read_tree(spark: SparkSession, root: str) -> DataFrame:
-    """Every file under ``root`` with ``path`` (relative), ``bytes`` and ``text``; executors read in parallel. Binary files have a null text."""
+    """Every file under ``root`` with ``path`` (relative), ``bytes``, ``binary`` and ``text``; executors read in parallel.
+
+    Binary files have a null text. Files over MAX_BYTES are listed, never opened: the filter on their length reaches the scan, which
+    leaves out their content; they count as not binary and have a null text.
+    """
     base = root.rstrip("/") + "/"
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     rel = F.regexp_replace("path", "^.*?" + re.escape(base), "")
     binary = F.instr(F.decode(F.substring("content", 1, SNIFF), "ISO-8859-1"), "\0") > 0
-    return raw.select(rel.alias("path"), F.col("length").alias("bytes"), binary.alias("binary"), F.when(~binary & (F.col("length") <= MAX_BYTES), F.decode("content", "UTF-8")).alias("text"))
+    read = raw.where(F.col("length") <= MAX_BYTES).select(rel.alias("path"), F.col("length").alias("bytes"), binary.alias("binary"), F.when(~binary, F.decode("content", "UTF-8")).alias("text"))
+    listed = raw.where(F.col("length") > MAX_BYTES).select(rel.alias("path"), F.col("length").alias("bytes"), F.lit(False).alias("binary"), F.lit(None).cast("string").alias("text"))
+    return read.unionByName(listed)
 
 
 def classify(files: DataFrame, rules: DataFrame | None = None) -> DataFrame:

@@ -15,8 +15,9 @@ from lodeline.operators import history as H
 from lodeline.operators import ranking as R
 from lodeline.operators import spatial as S
 from lodeline.operators import validate as V
-from lodeline.operators.resolve import link_edges, package_name, resolve
+from lodeline.operators.resolve import CONFIG, MODULES, PACKAGES, ROOTS, link_edges, package_name, resolve
 from lodeline.operators.scan import mask, scan
+from lodeline.session import cut
 from lodeline.operators.skew import salted_lookup
 from lodeline.sources import documents, gitlog, manifests, tree
 
@@ -239,9 +240,29 @@ def test_mask():
     assert len(masked) == len(text) and "//" not in masked and list(table.values()) == ["b // c", "e"]
 
 
+def test_scan_awkward_texts():
+    imports = lambda t, lang: scan(t, lang)[0]
+    assert imports("const u = /\\/\\//.test(s); import c from './c';", "ts") == [("import", "./c")]
+    assert imports("const r = a / b / c; import y from './b'; if (x) /re'/.exec(y); z = i++ / 2; import c from './c' // '", "ts") == [("import", "./b"), ("import", "./c")]
+    assert imports("f(`x ${ require('./t') } y ${`n ${import('./n')}`} // import 'no'`); import z from './z'", "ts") == [("require", "./t"), ("dynamic", "./n"), ("import", "./z")]
+    assert imports("import(foo); require(`./${x}`); require(join('a'))", "ts") == [("computed", "")] * 3
+    assert imports("a = 'open\nimport d from './d'", "js") == [("import", "./d")]
+    assert imports("from x import \\\n  a, b\nx=1; import sys\nif True: import os\ndef f(): from . import (\n q as r, # c\n s,\n)\nd = {'a': 1}\nfrom ..p.m import *\n", "py") == [
+        ("from", "x:a"), ("from", "x:b"), ("import", "sys"), ("import", "os"), ("from", ".:q"), ("from", ".:s"), ("from", "..p.m:*"),
+    ]
+    assert imports('s = "import no"; import yes  # import no\n"""\nimport no\n"""\n', "py") == [("import", "yes")]
+    assert scan("export * from './all'", "ts") == ([("reexport", "./all")], ["*"])
+    go = "package a\nconst (\n\tA = iota\n\tB\n\tc = f(D{\n\t\tE: 1,\n\t})\n)\nvar F, G = 1, 2\ntype (\n\tH struct {\n\t\tI int\n\t}\n\tJ int\n)\nfunc (r *T) K() {}\n"
+    assert scan(go, "go") == ([], ["A", "B", "F", "G", "H", "J", "K"])
+    for lang in ("ts", "py", "go"):
+        assert scan("", lang) == ([], [])
+        for text in ("`${", "/", "a = /[", "'''", "(((", "import", "from . import", "const ("):
+            assert len(mask(text, lang)[0]) == len(text) and scan(text, lang)
+
+
 def test_scan():
     refs, names = scan("import a, { b } from './x.js';\nimport 'y';\nexport * from \"z\";\nimport type { T } from 't';\nconst q = require('r'); // import 'no'\nconst s = `import 'no'`; await import('dyn');\nexport const c = 1; export default function f() {}\nexport { g as h };", "ts")
-    assert refs == [("import", "./x.js"), ("import", "y"), ("reexport", "z"), ("type", "t"), ("require", "r"), ("dynamic", "dyn")] and names == ["c", "default", "f", "h"]
+    assert refs == [("import", "./x.js"), ("import", "y"), ("reexport", "z"), ("type", "t"), ("require", "r"), ("dynamic", "dyn")] and names == ["*", "c", "default", "f", "h"]
     refs, names = scan('package p\nimport "fmt"\nimport (\n\tx "a/b"\n\t// "no"\n)\nfunc F() {}\nfunc (t T) M() {}\nvar v = "import"\n', "go")
     assert refs == [("import", "fmt"), ("import", "a/b")] and names == ["F", "M"]
     refs, names = scan("import os, a.b as c\nfrom ..x import (y,\n  z as w)\n'''\nimport no\n'''\ndef f(): pass\nclass _H: pass\nV = 1\nm = import_module('q')\n", "py")
@@ -249,17 +270,48 @@ def test_scan():
 
 
 def test_resolve(spark):
-    paths = spark.createDataFrame([(1, p) for p in ("src/a.ts", "src/b.tsx", "src/d/index.ts", "src/e.js", "src/e.ts", "pkg/m.py", "pkg/n/__init__.py", "pkg/n/o.py")], "repo_id long, path string")
+    paths = spark.createDataFrame([(1, p) for p in (
+        "src/a.ts", "src/b.tsx", "src/d/index.ts", "src/e.js", "src/e.ts", "src/util/x.ts", "pkg/m.py", "pkg/n/__init__.py", "pkg/n/o.py", "app/s/t.py", "lib/s/t.py", "ns/p/q.py",
+        "libs/k/src/index.ts", "libs/k/src/core.ts", "libs/k/core.ts", "libs/j/one.ts", "libs/j/src/two.ts", "libs/j/three.ts", "libs/j/src/three.ts", "main.go", "in/deep/d.go", "in/deep/d2.go", "moved/v.go",
+    )], "repo_id long, path string")
+    configs = spark.createDataFrame([
+        (1, "", "src", [("@app/", True, ["gone/", "src/"]), ("whole", False, ["src/a.ts"])], ["left-pad", "@s/p", "requests"], ["#in/*"]), (1, "libs/k", None, None, ["zod"], None),
+    ], CONFIG)
+    packages = spark.createDataFrame([(1, "@s/k", "libs/k", {".": "./dist/index.js", "./c": "./src/core.ts", "./x/*": "./dist/*.js"}), (1, "jj", "libs/j", {})], PACKAGES)
+    modules = spark.createDataFrame([(1, "a.b/root", "", ["x.y/need"], {"o.p/old": "./moved"}), (1, "a.b/root/in", "in", [], {})], MODULES)
+    roots = spark.createDataFrame([(1, ""), (1, "app"), (1, "lib")], ROOTS)
+    disk = spark.createDataFrame([(1, "src/look.css"), (1, "src/a.ts")], "repo_id long, path string")
     refs = [
-        ("src/a.ts", "ts", "import", "./b.js", "internal", "src/b.tsx", "certain"), ("src/a.ts", "ts", "import", "./d", "internal", "src/d/index.ts", "certain"),
-        ("src/a.ts", "ts", "import", "./e.js", "internal", "src/e.js", "probable"), ("src/a.ts", "ts", "import", "../zz", "unresolved", None, None), ("src/a.ts", "ts", "import", "node:fs", "builtin", None, None),
-        ("src/a.ts", "ts", "import", "@s/p/q", "external", None, None), ("pkg/m.py", "py", "from", ".n:o", "internal", "pkg/n/o.py", "probable"), ("pkg/n/o.py", "py", "from", "..m:f", "internal", "pkg/m.py", "certain"),
-        ("pkg/m.py", "py", "import", "json", "external", None, None), ("x.go", "go", "import", "net/http", "builtin", None, None), ("x.go", "go", "import", "a.b/c", "external", None, None),
+        ("src/a.ts", "ts", "import", "./b.js", "internal", "src/b.tsx", "certain"), ("src/a.ts", "ts", "import", "./d", "internal", "src/d/index.ts", "certain"), ("src/a.ts", "ts", "import", ".", "unresolved", None, None),
+        ("src/a.ts", "ts", "import", "./e.js", "internal", "src/e.js", "probable"), ("src/a.ts", "ts", "import", "../zz", "unresolved", None, None), ("src/a.ts", "ts", "import", "../../out", "unresolved", None, None),
+        ("src/a.ts", "ts", "import", "node:fs", "external", None, None), ("src/a.ts", "ts", "import", "https://x.y/z.js", "external", None, None), ("src/a.ts", "ts", "import", "/abs/p", "unresolved", None, None),
+        ("src/a.ts", "ts", "import", "@s/p/q", "external", None, None), ("src/a.ts", "ts", "import", "undeclared", "unresolved", None, None), ("src/a.ts", "ts", "import", "fs/promises", "external", None, None),
+        ("src/a.ts", "ts", "import", "@app/util/x", "internal", "src/util/x.ts", "certain"), ("src/a.ts", "ts", "import", "@app/none", "unresolved", None, None), ("src/a.ts", "ts", "import", "whole", "internal", "src/a.ts", "certain"),
+        ("src/a.ts", "ts", "import", "util/x", "internal", "src/util/x.ts", "certain"), ("src/a.ts", "ts", "import", "#in/z", "external", None, None), ("src/a.ts", "ts", "import", "#other", "unresolved", None, None),
+        ("src/a.ts", "ts", "import", "./look.css", "offMap", "src/look.css", None), ("src/a.ts", "ts", "computed", "", "unresolved", None, None),
+        ("libs/k/core.ts", "ts", "import", "zod", "external", None, None), ("libs/k/core.ts", "ts", "import", "left-pad", "unresolved", None, None),
+        # a package of the repository: declared and there; declared, built, its source mirror; never its own decoy; not declared
+        ("src/a.ts", "ts", "import", "@s/k/c", "internal", "libs/k/src/core.ts", "certain"), ("src/a.ts", "ts", "import", "@s/k", "internal", "libs/k/src/index.ts", "certain"),
+        ("src/a.ts", "ts", "import", "@s/k/x/core", "unresolved", None, None), ("src/a.ts", "ts", "import", "jj/one", "internal", "libs/j/one.ts", "certain"), ("src/a.ts", "ts", "import", "jj/two", "internal", "libs/j/src/two.ts", "certain"),
+        ("src/a.ts", "ts", "import", "jj/three", "internal", "libs/j/three.ts", "probable"), ("src/a.ts", "ts", "import", "jj/none", "unresolved", None, None),
+        ("pkg/m.py", "py", "from", ".n:o", "internal", "pkg/n/__init__.py", "certain"), ("pkg/m.py", "py", "from", ".n:o", "internal", "pkg/n/o.py", "certain"), ("pkg/n/o.py", "py", "from", "..m:f", "internal", "pkg/m.py", "certain"),
+        ("pkg/m.py", "py", "import", "json", "external", None, None), ("pkg/m.py", "py", "import", "numpy", "unresolved", None, None), ("pkg/m.py", "py", "import", "requests.api", "external", None, None),
+        ("pkg/m.py", "py", "import", "s.t", "internal", "app/s/t.py", "probable"), ("pkg/m.py", "py", "import", "s.t", "internal", "lib/s/t.py", "probable"), ("pkg/m.py", "py", "from", "ns.p:q", "internal", "ns/p/q.py", "certain"),
+        ("pkg/m.py", "py", "from", "ns.p:zz", "unresolved", None, None), ("pkg/m.py", "py", "from", "....far:x", "unresolved", None, None),
+        ("main.go", "go", "import", "net/http", "external", None, None), ("main.go", "go", "import", "a.b/c", "unresolved", None, None), ("main.go", "go", "import", "x.y/need/sub", "external", None, None),
+        ("main.go", "go", "import", "a.b/root/in/deep", "internal", "in/deep", "certain"), ("main.go", "go", "import", "a.b/root/none", "unresolved", None, None), ("in/deep/d.go", "go", "import", "a.b/root", "internal", ".", "certain"),
+        ("main.go", "go", "import", "o.p/old", "internal", "moved", "certain"), ("main.go", "go", "import", "./x", "unresolved", None, None), ("in/deep/d.go", "go", "import", "x.y/need", "unresolved", None, None),
     ]
-    got = resolve(spark.createDataFrame([(1, *r[:4]) for r in refs], "repo_id long, path string, lang string, kind string, specifier string"), paths)
-    assert {(r["path"], r["specifier"], r["outcome"], r["target"], r["confidence"]) for r in got.collect()} == {(r[0], *r[3:]) for r in refs}
-    assert {(r["src"], r["dst"], r["confidence"]) for r in link_edges(got).collect()} >= {("src/a.ts", "src/e.js", "probable"), ("pkg/n/o.py", "pkg/m.py", "certain")}
+    frame = spark.createDataFrame([(1, *r[:4]) for r in {r[:4]: r for r in refs}.values()], "repo_id long, path string, lang string, kind string, specifier string")
+    got = cut(resolve(frame, paths, configs, packages, modules, roots, disk))
+    have = {(r["path"], r["specifier"], r["outcome"], r["target"], r["confidence"]) for r in got.collect()}
+    want = {(r[0], *r[3:]) for r in refs}
+    assert have == want, (sorted(map(str, have - want)), sorted(map(str, want - have)))
+    assert {(r["src"], r["dst"], r["confidence"]) for r in link_edges(got).collect()} >= {("src/a.ts", "src/e.js", "probable"), ("pkg/n/o.py", "pkg/m.py", "certain"), (".", "in/deep", "certain"), ("in/deep", ".", "certain")}
     assert one(spark, package_name(F.col("s")), s="@s/p/q") == "@s/p" and one(spark, package_name(F.col("s")), s="p/q") == "p"
+    bare = {r["specifier"]: r["outcome"] for r in resolve(frame, paths).where("specifier in ('net/http', 'a.b/root', '@s/p/q', 'fs/promises', 'json')").collect()}
+    assert bare == {"net/http": "external", "a.b/root": "unresolved", "@s/p/q": "unresolved", "fs/promises": "external", "json": "external"}
+    assert resolve(frame.limit(0), paths).count() == 0
 
 
 # --- quality and geometry

@@ -23,6 +23,8 @@ def session(app: str = "lodeline", master: str | None = None, partitions: int |
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.showConsoleProgress", "false")
+        # files of checkpoints go when nothing refers to them any more
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     if master:
         b = b.master(master).config("spark.ui.enabled", "false")

@@ -58,15 +58,18 @@ def capped_pairs(pairs: DataFrame, limits: DataFrame) -> DataFrame:
 
 
 def floors(pairs: DataFrame, limits: DataFrame) -> DataFrame:
-    """The count from which an absent pair is proof of absence: one over the last kept count where the cap bit, else the least count."""
+    """The count from which an absent pair is proof of absence: one over the last kept count where the cap bit, else the least count.
+
+    Pairs are counted by how often they were seen, and the cap is found among these counts: no repository's pairs are sorted.
+    """
     j = pairs.join(limits.select("repo_id", "min_co_change_count", "max_co_change_pairs"), "repo_id").where(F.col("n") >= F.col("min_co_change_count"))
-    w = Window.partitionBy("repo_id").orderBy(F.desc("n"), "a", "b")
-    ranked = j.withColumn("place", F.row_number().over(w))
-    g = ranked.groupBy("repo_id").agg(
-        F.count(F.lit(1)).alias("pairs"),
-        F.max("max_co_change_pairs").alias("cap"),
-        F.min(F.when(F.col("place") <= F.col("max_co_change_pairs"), F.col("n"))).alias("last_kept"),
-        F.max("min_co_change_count").alias("least"),
+    counts = j.groupBy("repo_id", "n").agg(F.count(F.lit(1)).alias("c"), F.max("max_co_change_pairs").alias("cap"), F.max("min_co_change_count").alias("least"))
+    above = Window.partitionBy("repo_id").orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1)
+    g = counts.withColumn("before", F.coalesce(F.sum("c").over(above), F.lit(0))).groupBy("repo_id").agg(
+        F.sum("c").alias("pairs"),
+        F.max("cap").alias("cap"),
+        F.min(F.when(F.col("before") < F.col("cap"), F.col("n"))).alias("last_kept"),
+        F.max("least").alias("least"),
     )
     bit = F.col("pairs") > F.col("cap")
     return g.select("repo_id", "pairs", F.least("pairs", "cap").alias("kept"), bit.alias("cap_bit"), F.when(bit, F.col("last_kept") + 1).otherwise(F.col("least").cast("long")).alias("floor"))

@@ -21,6 +21,7 @@ from lodeline.functions.scoring import f1
 from lodeline.operators import graph as G
 from lodeline.operators import history as H
 from lodeline.operators import ranking as R
+from lodeline.operators.overlap import neighbours
 from lodeline.plans import views as V
 from lodeline.session import cut
 
@@ -123,11 +124,8 @@ def touching(s: SparkSession, d: str) -> DataFrame:
     truth = R.even_spread(kept, KEYS, ["commit_date", "member"], RIGHT)
     truth = R.top_per_group(truth, KEYS, ["commit_date", "member"], RIGHT).select(*KEYS, "member", "place")
     # wrong answers: commits that share a file with one that touched the subject, within its lifetime
-    other = c.select("repo_id", F.explode("files").alias("via"), F.col("sha").alias("member"), F.col("commit_date").alias("day"))
-    via = kept.select("repo_id", "subject", F.col("member").alias("sha")).join(c.select("repo_id", "sha", F.explode("files").alias("via")), ["repo_id", "sha"]).where("via <> subject").select("repo_id", "subject", "via").distinct()
-    pool = via.join(other, ["repo_id", "via"]).join(life, ["repo_id", "subject"]).where(F.col("day").between(F.col("lo"), F.col("hi"))).groupBy(*KEYS, "member").agg(F.count(F.lit(1)).alias("shared"))
-    pool = pool.join(t.select("repo_id", "subject", "member"), [*KEYS, "member"], "left_anti")
-    return distinct_truth(assemble(truth, _ranked(pool, [F.desc("shared"), "member"], "neighbour")))
+    wrong = neighbours(c, life, CANDIDATES).withColumn("strategy", F.lit("neighbour"))
+    return distinct_truth(assemble(truth, wrong))
 
 
 TEMPLATES = {"dependents": dependents, "partners": partners, "changed": changed, "touching": touching}

@@ -104,3 +104,36 @@ def neighbours(commits: DataFrame, subjects: DataFrame, k: int) -> DataFrame:
         return pa.table([pa.array([key[0].as_py()] * len(found), pa.int64()), pa.array(subject, pa.string()), pa.array(member, pa.string()), pa.array(place, pa.int32())], ["repo_id", "subject", "member", "place"])
 
     return left.groupBy("repo", "part").cogroup(right.groupBy("repo", "part")).applyInArrow(count, f"repo_id {repo}, subject string, member string, place int")
+
+
+def companions(commits: DataFrame, anchors: int, least: int, k: int) -> DataFrame:
+    """``repo_id, subject, member, place``: of every commit the first ``k`` files beside its own, by the most commits that they share with one of its first ``anchors`` files, ``least`` or more.
+
+    ``commits`` has ``repo_id, sha, commit_date, files`` (a set, sorted); all of them count.
+    """
+    left, right = parts(commits.select("repo_id", "sha", "commit_date", "files"), commits.where(F.size("files") > 0).select("repo_id", F.col("sha").alias("subject")), size=4 * SUBJECTS)
+    repo = commits.schema["repo_id"].dataType.simpleString()
+
+    def count(key: tuple, l: pa.Table, r: pa.Table) -> pa.Table:  # noqa: E741
+        found: list[tuple[str, str, int]] = []
+        c = Commits(l)
+        number = {x: i for i, x in enumerate(c.shas)}
+        beside: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for subject in r["subject"].to_pylist():
+            own = c.files[c.starts[number[subject]] : c.starts[number[subject] + 1]]
+            near = []
+            for f in own[:anchors]:
+                if f not in beside:
+                    files, n = c.together(c.touching(f))
+                    beside[f] = files[n >= least], n[n >= least]
+                near.append(beside[f])
+            files, n = np.concatenate([x[0] for x in near]), np.concatenate([x[1] for x in near])
+            other = ~np.isin(files, own)
+            files, at = np.unique(files[other], return_inverse=True)
+            most = np.zeros(len(files), np.int64)
+            np.maximum.at(most, at, n[other])
+            found += [(subject, c.paths[files[i]], place) for place, i in enumerate(first(files, most, k), 1)]
+        subject, member, place = zip(*found, strict=True) if found else ((), (), ())
+        return pa.table([pa.array([key[0].as_py()] * len(found), pa.int64()), pa.array(subject, pa.string()), pa.array(member, pa.string()), pa.array(place, pa.int32())], ["repo_id", "subject", "member", "place"])
+
+    return left.groupBy("repo", "part").cogroup(right.groupBy("repo", "part")).applyInArrow(count, f"repo_id {repo}, subject string, member string, place int")

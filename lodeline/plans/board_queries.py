@@ -52,12 +52,14 @@ def whole_boards_touching(s: SparkSession, d: str) -> DataFrame:
 
 def boards_wrong_truth(s: SparkSession, d: str) -> DataFrame:
     """Candidates of the commit and file boards whose verdict differs from the touches themselves: there are none."""
-    t = V.touches(s, d).select("repo_id", "sha", "path").distinct()
-    a = B.changed(s, d).select("repo_id", F.col("subject").alias("sha"), F.explode("candidates").alias("path"), "truth", F.lit("changed").alias("kind"))
-    b = B.touching(s, d).select("repo_id", F.explode("candidates").alias("sha"), F.col("subject").alias("path"), "truth", F.lit("touching").alias("kind"))
-    says = a.select("kind", "repo_id", "sha", "path", F.array_contains("truth", F.col("path")).alias("says")).unionByName(b.select("kind", "repo_id", "sha", "path", F.array_contains("truth", F.col("sha")).alias("says")))
-    j = says.join(t.withColumn("is", F.lit(True)), ["repo_id", "sha", "path"], "left")
-    return j.groupBy("kind").agg(F.count_if(F.col("says") != F.coalesce("is", F.lit(False))).alias("wrong"))
+    says = lambda x: F.array_contains("truth", x).alias("says")
+    a = B.changed(s, d).select(F.lit("changed").alias("kind"), "repo_id", F.col("subject").alias("sha"), F.transform("candidates", lambda x: F.struct(x.alias("path"), says(x))).alias("verdicts"))
+    b = B.touching(s, d).select("repo_id", F.explode("candidates").alias("sha"), F.col("subject").alias("path"), "truth")
+    b = b.select(F.lit("touching").alias("kind"), "repo_id", "sha", F.array(F.struct("path", says(F.col("sha")))).alias("verdicts"))
+    # a row for each commit of the touches, not for each touch
+    j = a.unionByName(b).join(V.commits(s, d).select("repo_id", "sha", "files"), ["repo_id", "sha"], "left")
+    wrong = F.filter("verdicts", lambda v: v["says"] != F.coalesce(F.array_contains("files", v["path"]), F.lit(False)))
+    return j.groupBy("kind").agg(F.sum(F.size(wrong).cast("long")).alias("wrong"))
 
 
 def boards_held_out(s: SparkSession, d: str) -> DataFrame:

@@ -21,7 +21,7 @@ from lodeline.functions.scoring import f1
 from lodeline.operators import graph as G
 from lodeline.operators import history as H
 from lodeline.operators import ranking as R
-from lodeline.operators.overlap import neighbours
+from lodeline.operators.overlap import companions, neighbours
 from lodeline.plans import views as V
 from lodeline.session import cut
 
@@ -108,12 +108,11 @@ def partners(s: SparkSession, d: str) -> DataFrame:
 
 
 def changed(s: SparkSession, d: str) -> DataFrame:
-    t = cut(V.touches(s, d, narrow=True).select("repo_id", F.col("sha").alias("subject"), F.col("path").alias("member")))
-    truth = R.top_per_group(t, KEYS, ["member"], RIGHT).select(*KEYS, "member", "place")
-    pairs = H.both_ways(V.cochange(s, d)).where("n >= 2").select("repo_id", F.col("subject").alias("anchor"), F.col("partner").alias("member"), "n")
-    near = truth.select(*KEYS, F.col("member").alias("anchor")).join(pairs, ["repo_id", "anchor"]).groupBy(*KEYS, "member").agg(F.max("n").alias("n"))
-    pool = near.join(t, [*KEYS, "member"], "left_anti")
-    return distinct_truth(assemble(truth, _ranked(pool, [F.desc("n"), "member"], "together")))
+    c = V.commits(s, d).join(V.limits(s, d).select("repo_id", "wide_commit_files"), "repo_id").where(F.size("files").between(1, F.col("wide_commit_files")))
+    c = cut(c.select("repo_id", "sha", "commit_date", "files"))
+    truth = c.select("repo_id", F.col("sha").alias("subject"), F.posexplode(F.slice("files", 1, RIGHT)).alias("i", "member")).select(*KEYS, "member", (F.col("i") + 1).alias("place"))
+    wrong = companions(c, RIGHT, 2, CANDIDATES).withColumn("strategy", F.lit("together"))
+    return distinct_truth(assemble(truth, wrong))
 
 
 def touching(s: SparkSession, d: str) -> DataFrame:

@@ -13,9 +13,9 @@ evidence, never a verdict: hand-written files lie in such folders too. The text
 * copies without a notice: MinHash over pairs of lines. A file that is much alike an *anchor* (a file with a third-party
   notice or holder, or in a vendored or excluded folder) of another repository is a copy, wherever it lies.
 
-Identical texts share a signature and are compared once. Buckets of the banded signatures are reduced to two hubs (the
-anchors of the smallest and the largest repository), so a bucket of any size makes at most two candidates a row and
-nothing is collected.
+Identical texts share a signature and are compared once. A text is compared with every anchor of its buckets of banded signatures, in
+blocks of at most about BLOCK texts by BLOCK anchors, so a bucket of any size is spread over tasks. A block says only which of its texts
+have met what they need, so pairs are never rows.
 """
 
 from __future__ import annotations
@@ -98,6 +98,8 @@ ALIKE = 0.5
 MUCH_ALIKE = 0.8
 #: A text of fewer pairs of lines is too short to tell a copy from a coincidence.
 LEAST_PAIRS = 6
+#: Texts, and anchors, of a bucket that are compared at once; blocks are drawn by a hash, so they hold about as many.
+BLOCK = 2048
 
 _COMMENT_LINE = re.compile(r"\s*(?:\d+\s+)?(?://|#(?!!)|/\*|\*|<!--|\"\"\"|''')")
 _LITERAL = re.compile(r"“[^”\n]*(?:”|$)|\"[^\"\n]*\Z|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\.)*`|(?<![\w$])[-+]?(?:0[xX][0-9a-fA-F]+|\d[\d_.]*(?:[eE][-+]?\d+)?)")
@@ -319,6 +321,57 @@ def foreign_holders(files: DataFrame) -> DataFrame:
     return named.join(wide, "holder").join(lines, "repo").where(F.col("n") * 2 <= F.col("lines")).select("repo", "holder", "n")
 
 
+def _side(column: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.StructArray]:
+    """Where the lists of a column begin, the signatures in them as rows of numbers, and their other fields."""
+    flat = column.flatten()
+    starts = np.concatenate(([0], np.cumsum(np.asarray(column.value_lengths()))))
+    return starts, np.frombuffer(b"".join(flat.field("sig").to_pylist()), np.uint32).reshape(-1, HASHES), flat
+
+
+def _matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``sig, sure`` of the texts of a block that are alike to one of its anchors; ``sure`` where the evidence of the two is enough."""
+    for b in batches:
+        (at, own, x), (hub_at, hubs, y) = _side(b.column(0)), _side(b.column(1))
+        # repositories by number, whatever they are named by
+        ids = pa.concat_arrays([x.field("low"), x.field("high"), y.field("low"), y.field("high")]).dictionary_encode().indices.to_numpy()
+        low, high, hub_low, hub_high = np.split(ids, np.cumsum([len(x), len(x), len(y)]))
+        flag = {c: (np.asarray(x.field(c)), np.asarray(y.field(c))) for c in ("anchor", "weak", "noticed")}
+        found, sure = [], []
+        for r in range(b.num_rows):
+            i, j = slice(at[r], at[r + 1]), slice(hub_at[r], hub_at[r + 1])
+            p, q = own[i], hubs[j]
+            if len(p) * len(q) < 4096:
+                same = (p[:, None] == q[None]).sum(2)
+            else:
+                same = np.zeros((len(p), len(q)), np.uint8)
+                for k in range(HASHES):
+                    same += p[:, k, None] == q[None, :, k]
+            other = (low[i, None] != hub_low[None, j]) | (high[i, None] != hub_high[None, j]) | (low[i] != high[i])[:, None]
+            # a text that stands on both sides is none of its own copies
+            alike = (same >= ALIKE * HASHES) & (same < HASHES) & other
+            both = {c: (u[i, None], v[None, j]) for c, (u, v) in flag.items()}
+            enough = both["noticed"][0] | both["noticed"][1] | (both["anchor"][0] & both["anchor"][1]) | (both["weak"][0] & both["weak"][1] & (same >= MUCH_ALIKE * HASHES))
+            hit = np.flatnonzero(alike.any(1))
+            found += [x.field("sig")[at[r] + int(n)].as_py() for n in hit]
+            sure += (alike & enough).any(1)[hit].tolist()
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), pa.array(sure, pa.bool_())], ["sig", "sure"])
+
+
+def matched(bands: DataFrame) -> DataFrame:
+    """``sig, sure`` (repeated) of the texts that are alike to any hub with which they share a band.
+
+    ``bands`` has ``band, sig, low, high, anchor, weak, noticed, text, hub``: whether the row is to be compared, and whether others are with it.
+    """
+    sizes = bands.groupBy("band").agg(*[F.ceil(F.count_if(c) / BLOCK).cast("int").alias(f"{c}s") for c in ("text", "hub")]).where("texts > 0 and hubs > 0")
+    rows = bands.join(sizes, "band")
+    block = lambda n: F.pmod(F.xxhash64("sig"), F.col(n)).cast("int")
+    held = F.collect_list(F.struct("sig", "low", "high", "anchor", "weak", "noticed"))
+    texts = rows.where("text").groupBy("band", block("texts").alias("block")).agg(held.alias("own"))
+    hubs = rows.where("hub").groupBy("band", "texts", block("hubs").alias("part")).agg(held.alias("others"))
+    hubs = hubs.select("band", "others", F.explode(F.sequence(F.lit(0), F.col("texts") - 1)).alias("block"))
+    return texts.join(hubs, ["band", "block"]).select("own", "others").mapInArrow(_matched, "sig binary, sure boolean")
+
+
 def not_handwritten(files: DataFrame, file_id: str, repo_id: str, path: str, text: str, options: DataFrame | None = None, excludes: str = "excludes") -> DataFrame:
     """``file, why``: the files that nobody in the project wrote by hand.
 
@@ -343,21 +396,14 @@ def not_handwritten(files: DataFrame, file_id: str, repo_id: str, path: str, tex
         )
     )
     band = lambda i: F.xxhash64(F.lit(i), F.substring("sig", 4 * ROWS * i + 1, 4 * ROWS))
-    bands = texts.select("sig", "low", "high", "weak", "files", F.explode(F.array(*[band(i) for i in range(BANDS)])).alias("band"))
-    anchors = bands.where("weak").groupBy("band").agg(F.min_by("sig", F.struct("low", "sig")).alias("first"), F.max_by("sig", F.struct("high", "sig")).alias("last"), F.count(F.lit(1)).alias("n"))
-    met = bands.join(anchors, "band").select("sig", F.explode(F.array_distinct(F.array("first", "last"))).alias("hub")).where("sig <> hub").distinct()
-    hub = texts.select(F.col("sig").alias("hub"), F.col("low").alias("hub_low"), F.col("high").alias("hub_high"), F.col("anchor").alias("hub_anchor"), F.col("noticed").alias("hub_noticed"), F.col("weak").alias("hub_weak"))
-    same = F.aggregate(
-        F.sequence(F.lit(0), F.lit(HASHES - 1)), F.lit(0), lambda n, i: n + F.when(F.substring(F.col("sig"), i * 4 + 1, F.lit(4)) == F.substring(F.col("hub"), i * 4 + 1, F.lit(4)), 1).otherwise(0)
-    )
-    other = (F.col("low") != F.col("hub_low")) | (F.col("high") != F.col("hub_high")) | (F.col("low") != F.col("high"))
-    alike = cut(met.withColumn("same", same).where(F.col("same") >= ALIKE * HASHES).join(texts.drop("files"), "sig").join(hub, "hub").where(other))
-    sure = F.col("noticed") | F.col("hub_noticed") | (F.col("anchor") & F.col("hub_anchor")) | (F.col("weak") & F.col("hub_weak") & (F.col("same") >= MUCH_ALIKE * HASHES))
-    ends = F.explode(F.array("sig", "hub")).alias("sig")
-    spread = texts.where("noticed or weak and low <> high").select("sig")
-    known = cut(alike.where(sure).select(ends).unionByName(spread).distinct())
+    bands = texts.drop("files").withColumn("band", F.explode(F.array(*[band(i) for i in range(BANDS)])))
+    bands = cut(bands.join(bands.where("weak").select("band").distinct(), "band", "left_semi"))
+    alike = cut(matched(bands.withColumn("text", F.lit(True)).withColumn("hub", F.col("weak"))).groupBy("sig").agg(F.max("sure").alias("sure")))
+    known = cut(alike.where("sure").select("sig").unionByName(texts.where("noticed or weak and low <> high").select("sig")).distinct())
     # what is alike to a copy without a notice of its own is a copy too
-    linked = alike.join(known.select(F.col("sig").alias("hub")), "hub", "left_semi").select("sig")
+    state = alike.where("not sure").select("sig", F.lit(False).alias("known")).join(known, "sig", "left_anti").unionByName(known.withColumn("known", F.lit(True)))
+    second = bands.join(state, "sig").withColumn("text", ~F.col("known")).withColumn("hub", F.col("known") & F.col("weak")).drop("known")
+    linked = matched(second).select("sig")
     copies = linked.unionByName(known).distinct().join(texts.select("sig", "files"), "sig")
     found = salted_lookup(compared.where("why = ''").select("file", "sig"), copies, ["sig"], "files", ["file"])
     return own.unionByName(found.select("file", F.lit("vendored").alias("why")))

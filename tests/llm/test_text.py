@@ -157,6 +157,36 @@ def test_a_hot_copy_keeps_all_its_rows(spark):
     assert provenance.not_handwritten(df, "id", "repo", "path", "text").count() == 4000
 
 
+def test_every_anchor_of_a_bucket_is_met(spark, monkeypatch):
+    """Signatures of which some share a band with many that are not alike, the smallest and the largest repository's among them, against brute force."""
+    rng = np.random.default_rng(3)
+    fresh = lambda: rng.integers(0, 1 << 32, provenance.HASHES, dtype=np.uint64).astype(np.uint32)
+    base, rows = fresh(), []
+    for i in range(provenance.BANDS):
+        for repo in (1, 9):
+            s = fresh()
+            s[2 * i : 2 * i + 2] = base[2 * i : 2 * i + 2]
+            rows.append((repo, f"vendor/{repo}-{i}.ts", "", True, s))
+    noticed, linked = base.copy(), base.copy()
+    noticed[[1, 8, 20]] += 1
+    linked[[2, 9, 21, 30]] += 1
+    rows += [(4, "src/copy.ts", "", False, base), (5, "lib/a.ts", "vendored", True, noticed), (6, "lib/b.ts", "", False, linked), (4, "src/own.ts", "", False, fresh())]
+    for _ in range(40):
+        s, k = base.copy(), rng.integers(8, 24)
+        s[rng.permutation(provenance.HASHES)[:k]] += rng.integers(1, 99, k).astype(np.uint32)
+        rows.append((int(rng.integers(2, 9)), "x.ts", "", bool(rng.random() < 0.3), s))
+    schema = "file long, repo long, path string, why string, anchor boolean, holder string, licensed boolean, sig binary"
+    table = spark.createDataFrame([(i, r, p, w, a, None, False, bytearray(s.tobytes())) for i, (r, p, w, a, s) in enumerate(rows)], schema)
+    monkeypatch.setattr(provenance, "evidence", lambda *a: table)
+    monkeypatch.setattr(provenance, "BLOCK", 3, raising=False)
+    band = lambda x, y: any((x[2 * b : 2 * b + 2] == y[2 * b : 2 * b + 2]).all() for b in range(provenance.BANDS))
+    pairs = [(i, j) for i, x in enumerate(rows) for j, y in enumerate(rows) if y[3] and x[0] != y[0] and (x[4] == y[4]).sum() >= 16 and band(x[4], y[4])]
+    known = {i for i, x in enumerate(rows) if x[2]} | {i for i, j in pairs if rows[i][2] or rows[j][2] or rows[i][3] and rows[j][3]}
+    want = known | {i for i, j in pairs if j in known}
+    got = {r["file"] for r in provenance.not_handwritten(table, "file", "repo", "path", "sig").collect()}
+    assert got == want and 2 * provenance.BANDS in got
+
+
 # --- leakage
 
 

@@ -69,6 +69,32 @@ def truth_size(pool: Column, supply: Column, cap: int) -> Column:
 MOST = 19
 
 
+def mixed(lanes: dict, strategies: Sequence[str], shares: Sequence[float], count: int, filler: str | None = None) -> dict:
+    """Up to ``count`` items of ranked lanes with their strategies: each one's quota in turn, skipping what is taken, then round-robin, then the filler."""
+    total = sum(shares)
+    exact = [count * x / total for x in shares]
+    quota = [int(x) for x in exact]
+    for i in sorted(range(len(shares)), key=lambda i: (-round(exact[i] - quota[i], 9), i))[: count - sum(quota)]:
+        quota[i] += 1
+    taken: dict = {}
+    for s, q in zip(strategies, quota, strict=True):
+        for v in lanes.get(s, []):
+            if q and v not in taken:
+                taken[v] = s
+                q -= 1
+    more = True
+    while more and len(taken) < count:
+        more = False
+        for s in strategies:
+            v = next((x for x in lanes.get(s, []) if x not in taken), None)
+            if v is not None and len(taken) < count:
+                taken[v], more = s, True
+    for v in lanes.get(filler, []):
+        if len(taken) < count and v not in taken:
+            taken[v] = filler
+    return dict(list(taken.items())[:count])
+
+
 def select_mix(supplies: DataFrame, group: list[str], item: str, strategies: Sequence[str], shares: Sequence[float], count: int | str, filler: str | None = None) -> DataFrame:
     """``count`` items a group from ranked supplies by strategy: each strategy's quota in turn, skipping what is taken, then round-robin over what is left.
 
@@ -78,15 +104,6 @@ def select_mix(supplies: DataFrame, group: list[str], item: str, strategies: Seq
     it is cut to that before it is gathered.
     """
     small = top_per_group(supplies.select(*group, "strategy", "place", item).where(F.col("strategy").isin(*strategies, *([filler] if filler else []))), [*group, "strategy"], ["place", item], MOST if isinstance(count, str) else count, "rank")
-    total = sum(shares)
-
-    def split(count: int) -> list[int]:
-        exact = [count * x / total for x in shares]
-        quota = [int(x) for x in exact]
-        for i in sorted(range(len(shares)), key=lambda i: (-round(exact[i] - quota[i], 9), i))[: count - sum(quota)]:
-            quota[i] += 1
-        return quota
-
     kinds = {f.name: f.dataType.simpleString() for f in supplies.schema}
 
     wanted = count
@@ -94,23 +111,7 @@ def select_mix(supplies: DataFrame, group: list[str], item: str, strategies: Seq
     def board(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         count = int(key[group.index(wanted)]) if isinstance(wanted, str) else wanted
         lanes = {s: list(x.sort_values(["rank"])[item]) for s, x in pdf.groupby("strategy")}
-        taken: dict = {}
-        for s, q in zip(strategies, split(count), strict=True):
-            for v in lanes.get(s, []):
-                if q and v not in taken:
-                    taken[v] = s
-                    q -= 1
-        more = True
-        while more and len(taken) < count:
-            more = False
-            for s in strategies:
-                v = next((x for x in lanes.get(s, []) if x not in taken), None)
-                if v is not None and len(taken) < count:
-                    taken[v], more = s, True
-        for v in lanes.get(filler, []):
-            if len(taken) < count and v not in taken:
-                taken[v] = filler
-        rows = list(taken.items())[:count]
+        rows = list(mixed(lanes, strategies, shares, count, filler).items())
         return pd.DataFrame({**{g: [k] * len(rows) for g, k in zip(group, key, strict=True)}, item: [v for v, _ in rows], "strategy": [s for _, s in rows]})
 
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in [*group, item]) + ", strategy string"

@@ -21,6 +21,7 @@ from lodeline.operators import history as H
 from lodeline.operators import ranking as R
 from lodeline.plans import views as V
 from lodeline.plans.boards import CANDIDATES, GIVEN_AWAY, KEYS, RIGHT, distinct_truth
+from lodeline.plans.whole_parts import MAKE, made
 from lodeline.session import cut
 
 #: The strategies of each template and their shares.
@@ -119,8 +120,12 @@ def members(right: DataFrame, size: DataFrame, supplies: list[DataFrame], filled
 
 def gathered(rows: DataFrame) -> DataFrame:
     """The boards of their members, one for each set of right answers."""
-    board = rows.groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.struct("member", "how"))).alias("m"))
-    board = board.select(
+    return shown(rows.groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.struct("member", "how"))).alias("m")))
+
+
+def shown(boards: DataFrame) -> DataFrame:
+    """The boards of their sorted members ``m``, one for each set of right answers."""
+    board = boards.select(
         *KEYS,
         F.transform("m", lambda x: x["member"]).alias("candidates"),
         F.transform(F.filter("m", lambda x: x["how"] == "-"), lambda x: x["member"]).alias("truth"),
@@ -200,29 +205,7 @@ def partners(s: SparkSession, d: str) -> DataFrame:
 
 
 def changed(s: SparkSession, d: str) -> DataFrame:
-    t = cut(V.touches(s, d, narrow=True).select("repo_id", F.col("sha").alias("subject"), F.col("path").alias("member")))
-    universe, pairs = _files(s, d), cut(V.cochange(s, d))
-    order = [F.desc("churn"), "member"]
-    filled = cut(filler(t.select(*KEYS).distinct(), universe, t, order))
-    size = cut(sizes(t, filled))
-    w = Window.partitionBy(*KEYS)
-    placed = t.join(size, KEYS).withColumn("i", F.row_number().over(w.orderBy("member")) - 1).withColumn("n", F.count(F.lit(1)).over(w))
-    right = cut(placed.where(even(F.col("i"), F.col("n"), F.col("size"))).select(*KEYS, "member"))
-    at = right.withColumnRenamed("member", "anchor")
-    both = H.both_ways(pairs).select("repo_id", F.col("subject").alias("anchor"), F.col("partner").alias("member"), "n")
-    e = cut(both.where("n >= 2").select("repo_id", F.col("anchor").alias("src"), F.col("member").alias("dst")))
-    beside = at.select("repo_id", *KEYS[1:], F.col("anchor").alias("src")).join(e, ["repo_id", "src"]).select(*KEYS, F.col("dst").alias("member")).distinct()
-    moved = at.join(both, ["repo_id", "anchor"]).groupBy(*KEYS, "member").agg(F.max("n").alias("n")).join(t, [*KEYS, "member"], "left_anti").join(beside, [*KEYS, "member"], "left_anti")
-    said = V.commits(s, d).select("repo_id", F.col("sha").alias("subject"), F.explode(F.array_distinct(tokens("subject"))).alias("word")).join(size.select(*KEYS), KEYS, "left_semi")
-    lanes = [
-        filler(size, universe.where("churn > 0"), t, order, "busy"),
-        supply(moved, [F.desc("n"), "member"], "together"),
-        supply(rings(at, e, universe, t), ["hop", *order], "structural"),
-        tree(at, universe, t, order),
-        names(at, universe, t),
-        supply(free(said, universe.withColumn("word", F.explode(F.array_distinct(name_tokens("member")))), t, ["word"], order).select(*KEYS, "member", "churn").distinct(), order, "mentioned"),
-    ]
-    return members(right, size, lanes, filled, "changed")
+    return _opened(made(s, d, "changed", MIX["changed"], FILLER))
 
 
 def _within(life: DataFrame, days: DataFrame, kept: DataFrame) -> DataFrame:
@@ -276,6 +259,10 @@ def touching(s: SparkSession, d: str) -> DataFrame:
     return members(right, size, lanes, filled, "touching")
 
 
+def _opened(boards: DataFrame) -> DataFrame:
+    return boards.select(*KEYS, F.explode("m").alias("x")).select(*KEYS, "x.member", "x.how")
+
+
 #: The guesses that a template's boards invite.
 GUESSES = {
     "dependents": ("directory", "name", "partition"),
@@ -351,5 +338,7 @@ MEMBERS = {"dependents": dependents, "partners": partners, "changed": changed, "
 
 def boards(s: SparkSession, d: str, kind: str, known: DataFrame | None = None) -> DataFrame:
     """The boards of a template that no guess gives away, one for each set of right answers."""
+    if kind in MAKE:
+        return shown(made(s, d, kind, MIX[kind], FILLER, known).where(F.col("best") < GIVEN_AWAY).drop("best"))
     rows = cut(MEMBERS[kind](s, d))
     return gathered(gate(rows, scored(s, d, kind, rows, known)))

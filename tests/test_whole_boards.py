@@ -7,6 +7,7 @@ import pytest
 
 from lodeline.plans import views as V
 from lodeline.plans import whole_boards as W
+from lodeline.plans import whole_parts as P
 
 DATA = Path("/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not DATA.exists(), reason="no test tables here")
@@ -102,3 +103,59 @@ def test_commit_guesses_equal_brute_force(spark):
         for g, taken in guesses.items():
             hits = len(key & set(taken))
             assert got[repo, f, g] == pytest.approx(2 * hits / (len(taken) + len(key)))
+
+
+def test_scores_of_the_parts_equal_those_of_the_rows(spark, monkeypatch):
+    """The guesses scored in numbers against the same guesses over rows, with repositories in several parts."""
+    monkeypatch.setattr(P, "TOUCHES", 150)
+    d = str(DATA)
+    known = spark.createDataFrame([r for i, r in enumerate(sorted(V.commits(spark, d).select("repo_id", "sha").collect())) if i % 2], "repo_id long, sha string")
+    for kind in P.MAKE:
+        made = P.made(spark, d, kind, W.MIX[kind], W.FILLER, known).collect()
+        rows = spark.createDataFrame([(r["repo_id"], r["subject"], x["member"], x["how"]) for r in made for x in r["m"]], "repo_id long, subject string, member string, how string")
+        best = {tuple(r) for r in W.scored(spark, d, kind, rows, known).groupBy(*W.KEYS).agg(W.F.max("score")).collect()}
+        assert made and {(r["repo_id"], r["subject"]): r["best"] for r in made} == pytest.approx({(a, b): s for a, b, s in best})
+
+
+def lanes_by_rows(spark, d):
+    """The lanes of changed boards as relations: what the parts must take from."""
+    t = V.touches(spark, d, narrow=True).select("repo_id", W.F.col("sha").alias("subject"), W.F.col("path").alias("member"))
+    right = spark.createDataFrame(W.changed(spark, d).where("how = '-'").select("repo_id", "subject", W.F.col("member").alias("anchor")).collect(), "repo_id long, subject string, anchor string")
+    universe, order = W._files(spark, d), [W.F.desc("churn"), "member"]
+    pairs = W.H.both_ways(V.cochange(spark, d)).where("n >= 2").select("repo_id", W.F.col("subject").alias("src"), W.F.col("partner").alias("dst"))
+    return {
+        "tree": W.tree(right, universe, t, order),
+        "name": W.names(right, universe, t),
+        "structural": W.supply(W.rings(right, W.cut(pairs), universe, t), ["hop", *order], "structural"),
+        "busy": W.filler(right.select(*W.KEYS).distinct(), universe.where("churn > 0"), t, order, "busy"),
+    }
+
+
+def test_lanes_of_the_parts_equal_those_of_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(P, "TOUCHES", 150)
+    d = str(DATA)
+    seen_lanes = {}
+    taken = P.R.mixed
+
+    want = {k: defaultdict(dict) for k in ("tree", "name", "structural", "busy")}
+    for k, lane in lanes_by_rows(spark, d).items():
+        for r in lane.collect():
+            want[k][r["repo_id"], r["subject"]][r["place"]] = r["member"]
+    commits = defaultdict(list)
+    lim = {r["repo_id"]: r["wide_commit_files"] for r in V.limits(spark, d).collect()}
+    for r in V.commits(spark, d).collect():
+        commits[r["repo_id"]].append({"sha": r["sha"], "commit_date": r["commit_date"], "files": r["files"], "said": [], "narrow": len(r["files"]) <= lim[r["repo_id"]], "known": False})
+    kinds = P.pa.schema([("sha", P.pa.string()), ("commit_date", P.pa.date32()), ("files", P.pa.list_(P.pa.string())), ("said", P.pa.list_(P.pa.string())), ("narrow", P.pa.bool_()), ("known", P.pa.bool_())])
+    for repo, rows in commits.items():
+        x = P.Repo(P.pa.Table.from_pylist(rows, kinds))
+        mix = lambda lanes, filled, count: (seen_lanes.update(now={k: [x.paths[f] for f in v] for k, v in lanes.items()}), taken({**lanes, "distant": filled}, list(W.MIX["changed"]), list(W.MIX["changed"].values()), count, "distant"))[1]  # noqa: B023, E731
+        for subject, *_ in P.changed(x, range(len(x.shas)), mix):
+            for k in want:
+                got = want[k].get((repo, subject), {})
+                assert seen_lanes["now"][k] == [got[i] for i in sorted(got)], (k, repo, subject)
+
+
+def test_changed_makes_no_rows_of_lanes(spark):
+    """Neither the lanes nor the ranks of banned members are rows: the plan of the boards has one shuffle of commits by part and no checkpoint."""
+    plan = W.boards(spark, str(DATA), "changed")._jdf.queryExecution().optimizedPlan().toString()
+    assert "rank" not in plan and "prefix" not in plan and "FlatMapGroupsInArrow" in plan

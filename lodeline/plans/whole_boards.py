@@ -36,12 +36,6 @@ FILLER = "distant"
 NEAR_HOPS = 2
 
 
-def even(i: Column, n: Column, k: Column) -> Column:
-    """Whether row ``i`` of ``n`` is among ``k`` rows at even distances, the ends included."""
-    step = (n - 1) / F.greatest(k - 1, F.lit(1))
-    return (n <= k) | F.exists(F.sequence(F.lit(0), F.greatest(k - 1, F.lit(0))), lambda j: F.floor(j * step + 0.5) == i)
-
-
 def free(at: DataFrame, universe: DataFrame, banned: DataFrame, lane: list[str], order: list) -> DataFrame:
     """For every row of ``at`` (KEYS and its lane) the first members of that lane that are not banned, at least 2 * CANDIDATES where there are so many."""
     ranked = universe.withColumn("rank", F.row_number().over(Window.partitionBy("repo_id", *lane).orderBy(*order)))
@@ -208,55 +202,8 @@ def changed(s: SparkSession, d: str) -> DataFrame:
     return _opened(made(s, d, "changed", MIX["changed"], FILLER))
 
 
-def _within(life: DataFrame, days: DataFrame, kept: DataFrame) -> DataFrame:
-    """The filler of commit boards: CANDIDATES commits at even distances over those of the lifetime that do not touch the subject, by their ranks."""
-    days = days.withColumn("rank", F.row_number().over(Window.partitionBy("repo_id").orderBy("day", "member")))
-    ends = days.groupBy("repo_id", "day").agg(F.min("rank").alias("a"), F.max("rank").alias("b"))
-    own = kept.join(days, ["repo_id", "member"]).groupBy(*KEYS).agg(F.array_sort(F.collect_list("rank")).alias("own"))
-    x = life.join(ends.select("repo_id", F.col("day").alias("lo"), "a"), ["repo_id", "lo"]).join(ends.select("repo_id", F.col("day").alias("hi"), "b"), ["repo_id", "hi"]).join(own, KEYS)
-    x = x.withColumn("left", F.col("b") - F.col("a") + 1 - F.size("own")).where("left > 0").withColumn("k", F.least("left", F.lit(CANDIDATES)))
-    x = x.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    x = x.withColumn("i", F.floor(F.col("j") * (F.col("left") - 1) / F.greatest(F.col("k") - 1, F.lit(1)) + 0.5))
-    # own commits that lie before the i-th of the others
-    before = F.size(F.filter("own", lambda r, p: r - F.col("a") - p <= F.col("i")))
-    x = x.select(*KEYS, (F.col("i") + F.col("a") + before).cast("int").alias("rank"), (F.col("j") + 1).alias("place"))
-    return x.join(days, ["repo_id", "rank"]).select(*KEYS, "member", "place", F.lit(FILLER).alias("strategy"))
-
-
 def touching(s: SparkSession, d: str) -> DataFrame:
-    c = cut(V.commits(s, d).where("commit_date is not null").select("repo_id", "sha", F.col("commit_date").alias("day"), F.col("subject").alias("message"), "files"))
-    days = c.select("repo_id", F.col("sha").alias("member"), "day")
-    t = c.select("repo_id", F.explode("files").alias("subject"), F.col("sha").alias("member"), "day")
-    life = cut(t.groupBy("repo_id", "subject").agg(F.min("day").alias("lo"), F.max("day").alias("hi"), F.count(F.lit(1)).alias("n")).where("n >= 3 and lo < hi").drop("n"))
-    kept = cut(t.join(life.select(*KEYS), KEYS, "left_semi"))
-    filled = cut(_within(life, days, kept.select(*KEYS, "member")))
-    size = cut(sizes(kept, filled))
-    w = Window.partitionBy(*KEYS)
-    placed = kept.join(size, KEYS).withColumn("i", F.row_number().over(w.orderBy("day", "member")) - 1).withColumn("n", F.count(F.lit(1)).over(w))
-    right = placed.where(even(F.col("i"), F.col("n"), F.col("size"))).select(*KEYS, "member")
-    span = life.join(size.select(*KEYS), KEYS, "left_semi")
-
-    def offered(pool: DataFrame, strategy: str) -> DataFrame:
-        """``KEYS, member, day, shared`` within the lifetime, without the subject's own commits."""
-        inside = pool.join(span, KEYS).where(F.col("day").between(F.col("lo"), F.col("hi"))).join(kept.select(*KEYS, "member"), [*KEYS, "member"], "left_anti")
-        return supply(inside, [F.desc("shared"), "member"], strategy)
-
-    def overlap(anchors: DataFrame) -> DataFrame:
-        via = t.select("repo_id", F.col("subject").alias("via"), "member", "day")
-        return anchors.join(via, ["repo_id", "via"]).groupBy(*KEYS, "member", "day").agg(F.count(F.lit(1)).alias("shared"))
-
-    met = H.both_ways(V.cochange(s, d)).select("repo_id", "subject", F.col("partner").alias("via"), "n").join(size.select(*KEYS), KEYS, "left_semi")
-    folders = t.withColumn("prefix", F.explode(dir_prefixes("subject"))).groupBy("repo_id", "prefix", "member", "day").agg(F.count(F.lit(1)).alias("shared"))
-    homes = size.select(*KEYS, dir_name("subject").alias("prefix"))
-    said = c.select("repo_id", F.col("sha").alias("member"), "day", F.explode(F.array_distinct(tokens("message"))).alias("word"))
-    own = size.select(*KEYS, F.explode(F.array_distinct(name_tokens("subject"))).alias("word"))
-    lanes = [
-        offered(overlap(met.where("n >= 2").select(*KEYS, "via")), "neighbour"),
-        offered(homes.join(folders, ["repo_id", "prefix"]).select(*KEYS, "member", "day", "shared"), "sibling"),
-        offered(own.join(said, ["repo_id", "word"]).select(*KEYS, "member", "day").distinct().withColumn("shared", F.lit(1)), "mentions"),
-        offered(overlap(met.select(*KEYS, "via")), "companion"),
-    ]
-    return members(right, size, lanes, filled, "touching")
+    return _opened(made(s, d, "touching", MIX["touching"], FILLER))
 
 
 def _opened(boards: DataFrame) -> DataFrame:

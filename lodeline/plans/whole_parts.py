@@ -321,7 +321,7 @@ def touching(r: Repo, subjects: Iterator[int], mix: Callable) -> Iterator[tuple[
         yield r.paths[x], [r.shas[c] for c in right], {r.shas[c]: s for c, s in wrong.items()}, scores
 
 
-MAKE = {"changed": changed}
+MAKE = {"changed": changed, "touching": touching}
 
 
 def made(s: SparkSession, d: str, kind: str, shares: dict[str, float], filler: str, known: DataFrame | None = None) -> DataFrame:

@@ -21,7 +21,7 @@ from lodeline.operators import history as H
 from lodeline.operators import ranking as R
 from lodeline.plans import views as V
 from lodeline.plans.boards import CANDIDATES, GIVEN_AWAY, KEYS, RIGHT, distinct_truth
-from lodeline.plans.whole_parts import MAKE, made
+from lodeline.plans.whole_parts import made
 from lodeline.session import cut
 
 #: The strategies of each template and their shares.
@@ -176,26 +176,15 @@ def dependents(s: SparkSession, d: str) -> DataFrame:
     return members(right, size, lanes, filled, "dependents")
 
 
+def _partners(s: SparkSession, d: str) -> DataFrame:
+    pairs, lim = cut(V.cochange(s, d)), V.limits(s, d)
+    ranked = cut(H.rank_partners(H.capped_pairs(pairs, lim), H.floors(pairs, lim), RIGHT))
+    truth = ranked.select("repo_id", "subject", F.col("partner").alias("member"), "place")
+    return made(s, d, "partners", MIX["partners"], FILLER, truth=truth)
+
+
 def partners(s: SparkSession, d: str) -> DataFrame:
-    pairs, lim, universe = cut(V.cochange(s, d)), V.limits(s, d), _files(s, d)
-    ranked = H.rank_partners(H.capped_pairs(pairs, lim), H.floors(pairs, lim), RIGHT)
-    truth = cut(ranked.select("repo_id", "subject", F.col("partner").alias("member"), "place"))
-    subjects = truth.select(*KEYS).distinct()
-    met = H.both_ways(pairs).select("repo_id", "subject", F.col("partner").alias("member"))
-    banned = cut(met.unionByName(_self(subjects).withColumnRenamed("anchor", "member")).join(subjects, KEYS, "left_semi").distinct())
-    order = [F.desc("churn"), "member"]
-    filled = cut(filler(subjects, universe, banned, order))
-    size = cut(sizes(truth, filled))
-    at = _self(size)
-    e = pairs.where("n >= 2").select("repo_id", F.col("a").alias("src"), F.col("b").alias("dst"))
-    around = cut(e.unionByName(e.select("repo_id", F.col("dst").alias("src"), F.col("src").alias("dst"))))
-    lanes = [
-        supply(rings(at, around, universe, banned), ["hop", *order], "structural"),
-        filler(size, universe.where("churn > 0"), banned, order, "busy"),
-        tree(at, universe, banned, ["member"]),
-        names(at, universe, banned),
-    ]
-    return members(truth.join(size, KEYS).where("place <= size"), size, lanes, filled, "partners")
+    return _opened(_partners(s, d))
 
 
 def changed(s: SparkSession, d: str) -> DataFrame:
@@ -285,7 +274,8 @@ MEMBERS = {"dependents": dependents, "partners": partners, "changed": changed, "
 
 def boards(s: SparkSession, d: str, kind: str, known: DataFrame | None = None) -> DataFrame:
     """The boards of a template that no guess gives away, one for each set of right answers."""
-    if kind in MAKE:
-        return shown(made(s, d, kind, MIX[kind], FILLER, known).where(F.col("best") < GIVEN_AWAY).drop("best"))
+    if kind != "dependents":
+        m = _partners(s, d) if kind == "partners" else made(s, d, kind, MIX[kind], FILLER, known)
+        return shown(m.where(F.col("best") < GIVEN_AWAY).drop("best"))
     rows = cut(MEMBERS[kind](s, d))
     return gathered(gate(rows, scored(s, d, kind, rows, known)))

@@ -103,6 +103,10 @@ class Repo(Commits):
         """The files of each folder at any depth, by churn and path."""
         return self._lists(self.folders, self.order)
 
+    @cached_property
+    def inside_by_path(self) -> dict[str, list[int]]:
+        return self._lists(self.folders, np.arange(len(self.paths)))
+
     @cached_property
     def named(self) -> dict[str, list[int]]:
         """The files of each word of their names, by churn and path."""
@@ -173,15 +177,16 @@ def take(found: Iterator, banned: set, k: int = CANDIDATES) -> list[int]:
     return out
 
 
-def tree(r: Repo, anchors: list[int], banned: set[int]) -> list[int]:
+def tree(r: Repo, anchors: list[int], banned: set[int], by_path: bool = False) -> list[int]:
     levels: dict[int, set[str]] = defaultdict(set)
     for a in anchors:
         for depth, p in enumerate(r.folders[a]):
             levels[depth].add(p)
+    inside, key = (r.inside_by_path, None) if by_path else (r.inside, r.rank.__getitem__)
     out, gone = [], set(banned)
     for depth in sorted(levels, reverse=True):
-        got = {f for p in levels[depth] for f in take(r.inside[p], gone)}
-        out += sorted(got, key=r.rank.__getitem__)
+        got = {f for p in levels[depth] for f in take(inside[p], gone)}
+        out += sorted(got, key=key)
         gone |= got
         if len(out) >= CANDIDATES:
             break
@@ -209,14 +214,14 @@ def names(r: Repo, anchors: list[int], banned: set[int]) -> list[int]:
     return out[:CANDIDATES]
 
 
-def structural(r: Repo, anchors: np.ndarray, own: np.ndarray) -> list[int]:
+def structural(r: Repo, anchors: np.ndarray, banned: np.ndarray) -> list[int]:
     """By hops over pairs seen twice, ring after whole ring until there is a board's worth."""
     seen, ring, out = np.unique(anchors), anchors, []
     while len(ring):
         beyond = [files[n >= 2] for files, n in map(r.met, ring.tolist())]
         ring = np.setdiff1d(np.concatenate(beyond), seen)
         seen = np.union1d(seen, ring)
-        free = np.setdiff1d(ring, own, assume_unique=True)
+        free = np.setdiff1d(ring, banned, assume_unique=True)
         out += free[np.argsort(r.rank[free])].tolist()
         if len(out) >= CANDIDATES:
             break
@@ -321,13 +326,39 @@ def touching(r: Repo, subjects: Iterator[int], mix: Callable) -> Iterator[tuple[
         yield r.paths[x], [r.shas[c] for c in right], {r.shas[c]: s for c, s in wrong.items()}, scores
 
 
+def partners(r: Repo, truths: dict[str, list[str]], mix: Callable) -> Iterator[tuple[str, list[str], dict, dict[str, float]]]:
+    """Of every subject with its ranked partners: its path, its right answers, its wrong ones by strategy, the scores of the guesses."""
+    order = r.order.tolist()
+    for subject, ranked in truths.items():
+        x = r.number[subject]
+        met = np.union1d(r.met(x)[0], [x])
+        banned = set(met.tolist())
+        filled = take(order, banned)
+        size = truth_size(len(filled), len(ranked))
+        if not size:
+            continue
+        at = [r.number[p] for p in ranked[:size]]
+        lanes = {"structural": structural(r, np.array([x]), met), "busy": [f for f in filled if r.churn[f]], "tree": tree(r, [x], banned, True), "name": names(r, [x], banned)}
+        wrong = mix(lanes, filled, CANDIDATES - size)
+        board, truth = [*at, *wrong], set(at)
+        hit = lambda picked: f1(len(truth & set(picked)), len(picked), len(truth))  # noqa: B023, E731
+        scores = {
+            "directory": hit([f for f in board if r.folders[f][-1:] == r.folders[x][-1:]]),
+            "name": hit([f for f in board if r.words[f] & r.words[x]]),
+            "churn": hit(sorted(board, key=r.rank.__getitem__)[: len(at)]),
+            "partition": partition(r, board, truth),
+        }
+        yield subject, [r.paths[f] for f in at], {r.paths[f]: s for f, s in wrong.items()}, scores
+
+
 MAKE = {"changed": changed, "touching": touching}
 
 
-def made(s: SparkSession, d: str, kind: str, shares: dict[str, float], filler: str, known: DataFrame | None = None) -> DataFrame:
+def made(s: SparkSession, d: str, kind: str, shares: dict[str, float], filler: str, known: DataFrame | None = None, truth: DataFrame | None = None) -> DataFrame:
     """``repo_id, subject, m, best``: the boards of a template, their members (``member, how``) by name, and the highest score of a guess.
 
-    ``known`` (``repo_id, sha``) are the commits whose number of files an answered board has told.
+    ``known`` (``repo_id, sha``) are the commits whose number of files an answered board has told; ``truth`` (``repo_id, subject, member, place``)
+    are the right answers on offer to the boards of partners.
     """
     c = V.commits(s, d).join(V.limits(s, d).select("repo_id", "wide_commit_files"), "repo_id")
     c = c.select("repo_id", "sha", "commit_date", "files", tokens("subject").alias("said"), F.coalesce(F.size("files") <= F.col("wide_commit_files"), F.lit(False)).alias("narrow"))
@@ -338,17 +369,31 @@ def made(s: SparkSession, d: str, kind: str, shares: dict[str, float], filler: s
     n = c.groupBy("repo_id").agg(F.ceil((F.sum(F.size("files")) + 1) / TOUCHES).cast("int").alias("parts"))
     c = c.join(n, "repo_id").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
 
-    def boards(key: tuple, t: pa.Table) -> pa.Table:
-        repo, part, parts = (k.as_py() for k in key)
-        mix = lambda lanes, filled, count: R.mixed({**lanes, filler: filled}, list(shares), list(shares.values()), count, filler)
-        r = Repo(t)
+    def table(repo: int, found: Iterator) -> pa.Table:
         out = []
-        for subject, right, wrong, scores in MAKE[kind](r, range(part, len(r.shas if kind == "changed" else r.paths), parts), mix):
+        for subject, right, wrong, scores in found:
             m = sorted([*((x, "-") for x in right), *wrong.items()])
             out.append((repo, subject, [{"member": x, "how": how} for x, how in m], max(scores.values())))
         columns = list(zip(*out, strict=True)) if out else [()] * 4
         kinds = [pa.int64(), pa.string(), pa.list_(pa.struct([("member", pa.string()), ("how", pa.string())])), pa.float64()]
         return pa.table([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], ["repo_id", "subject", "m", "best"])
 
+    mix = lambda lanes, filled, count: R.mixed({**lanes, filler: filled}, list(shares), list(shares.values()), count, filler)
+
+    def boards(key: tuple, t: pa.Table) -> pa.Table:
+        repo, part, parts = (k.as_py() for k in key)
+        r = Repo(t)
+        return table(repo, MAKE[kind](r, range(part, len(r.shas if kind == "changed" else r.paths), parts), mix))
+
+    def offered(key: tuple, t: pa.Table, right: pa.Table) -> pa.Table:
+        truths: dict[str, list[str]] = defaultdict(list)
+        for x in sorted(right.to_pylist(), key=lambda x: x["place"]):
+            truths[x["subject"]].append(x["member"])
+        return table(key[0].as_py(), partners(Repo(t), truths, mix) if truths else iter(()))
+
     repo = c.schema["repo_id"].dataType.simpleString()
-    return c.groupBy("repo_id", "part", "parts").applyInArrow(boards, f"repo_id {repo}, subject string, m array<struct<member: string, how: string>>, best double")
+    schema = f"repo_id {repo}, subject string, m array<struct<member: string, how: string>>, best double"
+    if truth is None:
+        return c.groupBy("repo_id", "part", "parts").applyInArrow(boards, schema)
+    at = truth.join(n, "repo_id").select(F.col("repo_id").alias("repo"), F.pmod(F.xxhash64("subject"), F.col("parts")).cast("int").alias("share"), "subject", "member", "place")
+    return c.groupBy("repo_id", "part").cogroup(at.groupBy("repo", "share")).applyInArrow(offered, schema)

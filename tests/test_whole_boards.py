@@ -159,3 +159,25 @@ def test_changed_makes_no_rows_of_lanes(spark):
     """Neither the lanes nor the ranks of banned members are rows: the plan of the boards has one shuffle of commits by part and no checkpoint."""
     plan = W.boards(spark, str(DATA), "changed")._jdf.queryExecution().optimizedPlan().toString()
     assert "rank" not in plan and "prefix" not in plan and "FlatMapGroupsInArrow" in plan
+
+
+def test_partners_are_made_by_part(spark, monkeypatch):
+    """Scores and lanes of the boards of partners in several parts, against the same over rows; the plan makes no rows of lanes."""
+    monkeypatch.setattr(P, "TOUCHES", 150)
+    d = str(DATA)
+    made = W._partners(spark, d)
+    assert "FlatMapCoGroupsInArrow" in made._jdf.queryExecution().optimizedPlan().toString()
+    boards = made.collect()
+    rows = spark.createDataFrame([(r["repo_id"], r["subject"], x["member"], x["how"]) for r in boards for x in r["m"]], "repo_id long, subject string, member string, how string")
+    best = {tuple(r) for r in W.scored(spark, d, "partners", rows).groupBy(*W.KEYS).agg(W.F.max("score")).collect()}
+    assert boards and {(r["repo_id"], r["subject"]): r["best"] for r in boards} == pytest.approx({(a, b): s for a, b, s in best})
+    met = defaultdict(set)
+    for r in W.H.both_ways(V.cochange(spark, d)).collect():
+        met[r["repo_id"], r["subject"]].add(r["partner"])
+    assert all((r["member"] in met[r["repo_id"], r["subject"]]) == (r["how"] == "-") for r in rows.collect())
+    ask = rows.select(*W.KEYS).distinct()
+    at, universe = W._self(ask), W._files(spark, d)
+    banned = spark.createDataFrame([(*k, x) for k, v in met.items() for x in v | {k[1]}], "repo_id long, subject string, member string").join(ask, W.KEYS, "left_semi")
+    lanes = {"tree": W.tree(at, universe, banned, ["member"]), "name": W.names(at, universe, banned), "busy": W.filler(ask, universe.where("churn > 0"), banned, [W.F.desc("churn"), "member"], "busy")}
+    offered = {k: {(r["repo_id"], r["subject"], r["member"]) for r in x.collect()} for k, x in lanes.items()}
+    assert all((r["repo_id"], r["subject"], r["member"]) in offered[r["how"]] for r in rows.collect() if r["how"] in offered)
